@@ -16,6 +16,14 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliate.llm.lexicon import decode, encode
+
+    rows = decode(encode(table(spark, sf_dir, "documents"), byte_bpe()), byte_bpe())
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op7_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliate.llm.rans import coded_ids
 
@@ -36,6 +44,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op7_rans_ids": op7_rans_ids, "op8_best_fit": op8_best_fit, "op10_quality": op10_quality}
+QUERIES = {"op1_transducer_bpe": op1_transducer_bpe, "op7_rans_ids": op7_rans_ids, "op8_best_fit": op8_best_fit, "op10_quality": op10_quality}
 
 ORACLES: dict[str, str] = {}
