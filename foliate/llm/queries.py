@@ -24,6 +24,15 @@ def op1_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliate.llm.shared import remainder
+    from foliate.llm.toxicity import fit, score
+
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
+    scored = score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliate.llm.rans import coded_ids
 
@@ -44,6 +53,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_transducer_bpe": op1_transducer_bpe, "op7_rans_ids": op7_rans_ids, "op8_best_fit": op8_best_fit, "op10_quality": op10_quality}
+QUERIES = {"op1_transducer_bpe": op1_transducer_bpe, "op2_toxicity": op2_toxicity, "op7_rans_ids": op7_rans_ids, "op8_best_fit": op8_best_fit, "op10_quality": op10_quality}
 
 ORACLES: dict[str, str] = {}
