@@ -46,6 +46,27 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op9_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliate.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliate.llm.quality import quality_report
 
@@ -53,6 +74,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_transducer_bpe": op1_transducer_bpe, "op2_toxicity": op2_toxicity, "op7_rans_ids": op7_rans_ids, "op8_best_fit": op8_best_fit, "op10_quality": op10_quality}
+QUERIES = {"op1_transducer_bpe": op1_transducer_bpe, "op2_toxicity": op2_toxicity, "op7_rans_ids": op7_rans_ids, "op8_best_fit": op8_best_fit, "op9_threshold_topk": op9_threshold_topk, "op10_quality": op10_quality}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_threshold_topk": OP9_SQL}
