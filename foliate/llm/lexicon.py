@@ -15,6 +15,7 @@ import os
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,9 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+NO_PAIR = 1 << 40
+
+
 class Merges:
     """The vocabulary's bytes and merge ranks, read from a tokenizer's file."""
 
@@ -51,6 +55,13 @@ class Merges:
         for rank, pair in enumerate(about["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        keys = np.array([a << 32 | b for a, b in self.pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.key_ranks = keys[order], np.array([r for r, _ in self.pairs.values()], np.int64)[order]
+        self.made = np.zeros(len(about["model"]["merges"]), np.int64)
+        for rank, new in self.pairs.values():
+            self.made[rank] = new
+        self.byte_array = np.array(self.byte_ids, np.int64)
         texts = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in about["added_tokens"]}
         self.token_bytes = [b""] * (max(texts) + 1)
         for i, t in texts.items():
@@ -69,6 +80,52 @@ class Merges:
             ids[best[1] : best[1] + 2] = [best[2]]
         return ids
 
+    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """merge() of many pieces at once: in each round every piece merges its pair of least rank, side by side."""
+        out: list[list[int]] = [[]] * len(pieces)
+        number = [k for k, p in enumerate(pieces) if 0 < len(p) <= SCANNED]
+        for k, p in enumerate(pieces):
+            if len(p) > SCANNED:
+                out[k] = self.merge(p)
+        if not number:
+            return out
+        word = np.array(number)
+        sizes = np.fromiter((len(pieces[k]) for k in number), np.int64, len(number))
+        ids = self.byte_array[np.frombuffer(b"".join(pieces[k] for k in number), np.uint8)]
+        rank = self._ranks(ids[:-1], ids[1:], append=True)
+        while len(word):
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            rank[ends - 1] = NO_PAIR  # no pair reaches into the next piece
+            place = np.arange(len(ids)) - np.repeat(starts, sizes)
+            best = np.minimum.reduceat(rank * 64 + place, starts)
+            merging = best < NO_PAIR * 64
+            if not merging.all():
+                for k in np.flatnonzero(~merging):
+                    out[word[k]] = ids[starts[k] : ends[k]].tolist()
+                stay = np.repeat(merging, sizes)
+                ids, rank, word, sizes, best = ids[stay], rank[stay], word[merging], sizes[merging], best[merging]
+                if not len(word):
+                    break
+                starts = np.cumsum(sizes) - sizes
+            at = starts + best % 64
+            ids[at] = self.made[best // 64]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, rank, sizes = ids[stay], rank[stay], sizes - 1
+            at -= np.arange(len(at))  # each piece before has lost one id
+            after = np.minimum(at + 1, len(ids) - 1)
+            rank[at] = self._ranks(ids[at], ids[after])
+            left = np.maximum(at - 1, 0)
+            rank[left] = self._ranks(ids[left], ids[np.minimum(left + 1, len(ids) - 1)])
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray, append: bool = False) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        found = np.where(self.keys[at] == key, self.key_ranks[at], NO_PAIR)
+        return np.append(found, NO_PAIR) if append else found
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         after = [*range(1, len(ids)), -1]
         before = [*range(-1, len(ids) - 1)]
@@ -232,10 +289,15 @@ class LexiconEncoder:
     def __init__(self, lexicon: Lexicon, merges: Merges, special: dict[str, int]):
         self.lexicon, self.merges, self.special = lexicon, merges, special
 
-    def __call__(self, pieces: list[str]) -> list[list[int]]:
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [p.encode() for p in pieces]
         found = self.lexicon(raw)
-        return [[self.special[p]] if p in self.special else self.merges.merge(r) if ids is None else ids for p, r, ids in zip(pieces, raw, found, strict=True)]
+        unseen = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(unseen, self.merges.merge_all([raw[k] for k in unseen]), strict=True):
+            found[k] = ids
+        made = [[self.special[p]] if p in self.special else ids for p, ids in zip(pieces, found, strict=True)]
+        counts = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.uint32, int(counts.sum())), counts
 
 
 def _sent(spark, data: bytes) -> str:
@@ -264,9 +326,8 @@ def encode(docs: DataFrame, tokenizer: str, pieces: list[str] | None = None) ->
         library = library_tokenizer(tokenizer)
         encoder = BatchEncoder(library, LexiconEncoder(Lexicon(SparkFiles.get(name)), Merges(tokenizer), special_tokens(library)))
         for batch in rows_of(batches, 500, "text", 2 << 20):
-            ids = encoder(batch.column("text").to_pylist())
-            offsets = np.cumsum([0, *(len(x) // 4 for x in ids)])
-            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            ids, at = encoder(batch.column("text").to_pylist())
+            made = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), made], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")

@@ -34,7 +34,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
     part: the task that made it; nth: how many pieces of the same length that task had made before.
     """
-    last = np.array([end], "<u4").tobytes()
+    last = np.array([end], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -43,10 +43,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
         seen = [0] * (capacity + 1)
         for batch in rows_of(batches, 1000, "text"):
             made: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-                ids += last
-                for k, (s, n) in enumerate(cut_lengths(len(ids) // 4, capacity)):
-                    made.append((doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), part, seen[n]))
+            flat, at = encode(batch.column("text").to_pylist())
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at.tolist(), at[1:].tolist(), strict=False):
+                ids = np.append(flat[a:b], last)
+                for k, (s, n) in enumerate(cut_lengths(len(ids), capacity)):
+                    made.append((doc_id, k, s, n, zlib.crc32(ids[s : s + n]), part, seen[n]))
                     seen[n] += 1
             columns = list(zip(*made, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])

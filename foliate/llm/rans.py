@@ -175,9 +175,10 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end: int = 0) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 4), strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
         for batch in rows_of(batches, 1000, "text"):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
+            flat, at = encode(batch.column("text").to_pylist())
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at.tolist(), at[1:].tolist(), strict=False):
                 held_docs.append(doc_id)
-                held_ids.append(np.concatenate([np.frombuffer(ids, "<u4"), last]))
+                held_ids.append(np.append(flat[a:b], last))
                 held += len(held_ids[-1])
             if held >= FILE_IDS:
                 yield flush()
