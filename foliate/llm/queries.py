@@ -33,6 +33,57 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliate.llm.archive import archived
+
+    return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS largest FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < largest THEN largest END AS refers_to
+FROM m
+"""
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliate.llm.chat import format_conversations, read_conversations
+
+    trap = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    read = read_conversations(format_conversations(turns))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+OP6_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marks AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '\\', ''))
+    + list_sum(list_transform(['[INST]', '[/INST]', '[ANS]', '</s>', '<<SYS>>', '<</SYS>>', '[ROLE]', '[TEXT]', '[/ROLE]'],
+        lambda c: (length(text) - length(replace(text, c, ''))) // length(c))) AS escaped,
+    CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 WHEN 'system' THEN 15 ELSE 19 + length(role) END AS marked
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(escaped + marked) AS BIGINT) AS formatted_chars
+FROM marks GROUP BY conv_id
+"""
+
+
 def op7_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliate.llm.rans import coded_ids
 
@@ -74,6 +125,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_transducer_bpe": op1_transducer_bpe, "op2_toxicity": op2_toxicity, "op7_rans_ids": op7_rans_ids, "op8_best_fit": op8_best_fit, "op9_threshold_topk": op9_threshold_topk, "op10_quality": op10_quality}
+QUERIES = {"op1_transducer_bpe": op1_transducer_bpe, "op2_toxicity": op2_toxicity, "op5_warc": op5_warc, "op6_chat": op6_chat, "op7_rans_ids": op7_rans_ids, "op8_best_fit": op8_best_fit, "op9_threshold_topk": op9_threshold_topk, "op10_quality": op10_quality}
 
-ORACLES: dict[str, str] = {"op9_threshold_topk": OP9_SQL}
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op6_chat": OP6_SQL, "op9_threshold_topk": OP9_SQL}
