@@ -28,11 +28,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliate.llm.shared import remainder
     from foliate.llm.toxicity import fit, score
 
-    docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     scored = score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels"), ~held_out))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliate.llm.hmm import fit, score
+    from foliate.llm.shared import remainder
+
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    scored = score(docs, fit(docs, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliate.llm.archive import archived
 
@@ -125,6 +134,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_transducer_bpe": op1_transducer_bpe, "op2_toxicity": op2_toxicity, "op5_warc": op5_warc, "op6_chat": op6_chat, "op7_rans_ids": op7_rans_ids, "op8_best_fit": op8_best_fit, "op9_threshold_topk": op9_threshold_topk, "op10_quality": op10_quality}
+QUERIES = {"op1_transducer_bpe": op1_transducer_bpe, "op2_toxicity": op2_toxicity, "op4_hmm": op4_hmm, "op5_warc": op5_warc, "op6_chat": op6_chat, "op7_rans_ids": op7_rans_ids, "op8_best_fit": op8_best_fit, "op9_threshold_topk": op9_threshold_topk, "op10_quality": op10_quality}
 
 ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op6_chat": OP6_SQL, "op9_threshold_topk": OP9_SQL}
