@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.llm.shared import cut, rows_of
-from foliate.llm.tokens import BatchEncoder, library_tokenizer
+from foliate.llm.tokens import worker_encoder
 
 CAPACITY = 2048
 
@@ -39,7 +39,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = BatchEncoder(library_tokenizer(tokenizer)), TaskContext.get().partitionId()
+        encode, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in rows_of(batches, 1000, "text"):
             made: list[tuple] = []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.llm.shared import cut, file_system, new_folder, rows_of, write_file
-from foliate.llm.tokens import BatchEncoder, library_tokenizer
+from foliate.llm.tokens import worker_encoder
 
 MAGIC = b"RANSIDS1"
 SCALE_BITS = 20
@@ -162,7 +162,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end: int = 0) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = BatchEncoder(library_tokenizer(tokenizer)), TaskContext.get().partitionId()
+        encode, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
         held_docs: list[int | None] = []
         held_ids: list[np.ndarray] = []
         held, number = 0, 0

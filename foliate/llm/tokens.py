@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,8 +25,8 @@ NEWER = regex.compile("[՘֋֌࢏౜೜₏₝-₟꟎-ꟿ꭬꭭\U00010000-\U0001e
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
 LATIN_PIECES = re.compile(f" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
-#: A worker forgets the ids of pieces once it knows more than so many.
-KEPT_PIECES = 400_000
+#: Once a worker knows the ids of more pieces, it forgets those that the batch at hand hasn't got.
+KEPT_PIECES = 900_000
 
 
 def library_tokenizer(path: str):
@@ -99,9 +100,9 @@ class BatchEncoder:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts in a row, where each text's begin, with the end last); a null text has none."""
-        if len(self.numbers) > KEPT_PIECES:
-            self.forget()
         cut = [self.cut(t) if t else [] for t in texts]
+        if len(self.numbers) > KEPT_PIECES:
+            self._keep([p for p in set(chain.from_iterable(cut)) if p in self.numbers])
         known = len(self.numbers)
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         row = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
@@ -114,6 +115,16 @@ class BatchEncoder:
         ids = self.flat[np.repeat(begins - (stops - counts), counts) + np.arange(stops[-1] if len(stops) else 0)]
         return ids, np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(sizes)])]
 
+    def _keep(self, pieces: list[str]) -> None:
+        row = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        begins = self.ends[row - 1] * (row > 0)
+        counts = self.ends[row] - begins
+        stops = np.cumsum(counts)
+        ids = self.flat[np.repeat(begins - (stops - counts), counts) + np.arange(stops[-1] if len(stops) else 0)]
+        self.forget()
+        self.numbers.update(zip(pieces, range(len(pieces)), strict=True))
+        self._learn(0, ids, counts)
+
     def _learn(self, known: int, ids: np.ndarray, counts: np.ndarray) -> None:
         used = int(self.ends[known - 1]) if known else 0
         while len(self.flat) < used + len(ids):
@@ -122,3 +133,9 @@ class BatchEncoder:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.flat[used : used + len(ids)] = ids
         self.ends[known : known + len(counts)] = used + np.cumsum(counts)
+
+
+@lru_cache(maxsize=2)
+def worker_encoder(path: str) -> BatchEncoder:
+    """The encoder that a worker keeps from task to task, with the pieces that it knows."""
+    return BatchEncoder(library_tokenizer(path))
