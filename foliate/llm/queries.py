@@ -33,6 +33,37 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliate.llm.jaccard import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
+def _near_sql(words: int, num: int, den: int) -> str:
+    """Shingles as strings, all pairs that share one, and the closure of the links."""
+    shingle = " || chr(31) || ".join(f"w[i + {k}]" for k in range(words))
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, chr(31))]
+    ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: {shingle})) END AS s FROM w),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+half AS (SELECT a, b FROM common WHERE {den} * c >= {num} * (na + nb - c)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)"""
+
+
+OP3_SQL = _near_sql(4, 85, 100) + """
+SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN classes USING (doc_id)
+"""
+
+
 def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliate.llm.hmm import fit, score
     from foliate.llm.shared import remainder
@@ -134,6 +165,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_transducer_bpe": op1_transducer_bpe, "op2_toxicity": op2_toxicity, "op4_hmm": op4_hmm, "op5_warc": op5_warc, "op6_chat": op6_chat, "op7_rans_ids": op7_rans_ids, "op8_best_fit": op8_best_fit, "op9_threshold_topk": op9_threshold_topk, "op10_quality": op10_quality}
+QUERIES = {"op1_transducer_bpe": op1_transducer_bpe, "op2_toxicity": op2_toxicity, "op3_jaccard": op3_jaccard, "op4_hmm": op4_hmm, "op5_warc": op5_warc, "op6_chat": op6_chat, "op7_rans_ids": op7_rans_ids, "op8_best_fit": op8_best_fit, "op9_threshold_topk": op9_threshold_topk, "op10_quality": op10_quality}
 
-ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op6_chat": OP6_SQL, "op9_threshold_topk": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_jaccard": OP3_SQL, "op5_warc": OP5_SQL, "op6_chat": OP6_SQL, "op9_threshold_topk": OP9_SQL}
