@@ -32,6 +32,9 @@ CHEAP = 24
 #: Bits of the filter that tells which documents' sets are needed; a fixed size, however many there are.
 FILTER_BITS = 1 << 24
 
+#: Up to so many ids go to every executor; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
 #: Sets that a task remembers to have indexed, and words whose hashes it keeps.
 SEEN, WORDS = 200_000, 500_000
 
@@ -398,5 +401,7 @@ def near_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
 def near_filter(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs without those whose component has a smaller doc_id, all columns as they are; of several rows of
     the smallest id, all stay."""
-    gone = near_classes(docs, words, num, den).filter("component_id < doc_id").select(F.col("doc_id").alias("gone_"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("gone_"), "left_anti")
+    gone = cut(near_classes(docs, words, num, den).filter("component_id < doc_id").select(F.col("doc_id").alias("gone_")).distinct())
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"] == F.col("gone_"), "left_anti")

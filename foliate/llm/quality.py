@@ -149,7 +149,9 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality_report keeps, with all their columns as they are."""
     columns = docs.columns
-    own = docs.select(F.struct("*").alias("row_"), "text", "lang", "source")
-    counted = with_counts(own)
+    plain = docs.toDF(*(f"c{k}_" for k in range(len(columns))))  # no name can clash with those that are added
+    name = {c: f"c{k}_" for k, c in enumerate(columns)}
+    groups = {"lang": F.col(name["lang"]), "source": F.col(name["source"])}
     limits = cut(thresholds(sketch(with_counts(docs.select("text", "lang", "source")).drop("text"))))
-    return judge(counted, limits).filter("kept").select(*(F.col("row_")[c].alias(c) for c in columns))
+    kept = judge(with_counts(plain, name["text"]).withColumns(groups), limits).filter("kept")
+    return kept.select(*(F.col(name[c]).alias(c) for c in columns))

@@ -253,13 +253,13 @@ def _matrix(sample: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.nda
     return x, model.labels.posterior[rows["votes"].to_numpy()]
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from THRESHOLD on) behind all their columns; every row gets both."""
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([spread.value.score(t) for t in batch.column("text").to_pylist()], np.float64)
+            made = np.array([spread.value.score(t) for t in batch.column(text).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made), pa.array((made >= THRESHOLD).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
     kept = docs.select([c for c in docs.columns if c not in ("score", "predicted")])
@@ -270,6 +270,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns as they are."""
-    own = docs.select("text", F.struct("*").alias("row_"))
-    scored = score(own, fit(docs, labels, learn)).filter("predicted = 0")
-    return scored.select(*(F.col("row_")[c].alias(c) for c in docs.columns))
+    columns = docs.columns
+    plain = docs.toDF(*(f"c{k}_" for k in range(len(columns))))  # no name can clash with those that are added
+    kept = score(plain, fit(docs, labels, learn), f"c{columns.index('text')}_").filter("predicted = 0")
+    return kept.select(*(F.col(f"c{k}_").alias(c) for k, c in enumerate(columns)))
