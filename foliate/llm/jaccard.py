@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import cut, rows_of
+from foliate.llm.shared import WHITESPACE, cut, new_folder, remove_folder, rows_of, stored
 
 #: A key that more documents share is dear.
 CHEAP = 24
@@ -35,8 +35,8 @@ FILTER_BITS = 1 << 24
 #: Up to so many ids go to every executor; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
-#: Sets that a task remembers to have indexed, and words whose hashes it keeps.
-SEEN, WORDS = 200_000, 500_000
+#: Sets that a task remembers to have indexed, and bytes of text that it hashes at once.
+SEEN, AT_ONCE = 200_000, 1 << 20
 
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -48,25 +48,92 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+#: A random 64-bit number for each byte, A-Z alike a-z, and which bytes part words.
+BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTES[65:91] = BYTES[97:123]
+PARTS = np.isin(np.arange(256), np.frombuffer(WHITESPACE, np.uint8))
 
 
-def shingles(text: str | None, words: int, hashes: Hashes) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles; with fewer words the whole sequence is one, without any none."""
-    row = text.encode().lower().split() if text else []
-    if not row:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, row), np.uint64, len(row))
-    n = max(1, len(h) - words + 1)
-    total = np.full(n, min(words, len(h)), np.uint64)
-    for k in range(min(words, len(h))):
-        total = mix(total * C1 + h[k : k + n])
-    return np.unique(total)
+class Powers:
+    """Powers of an odd number modulo 2**64 and their inverses, as many as were asked for so far."""
+
+    base = 0xD1342543DE82EF95
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> None:
+        if n > len(self.up):
+            n = max(n, 1 << 20)
+            steps = [np.full(n, x & (1 << 64) - 1, np.uint64) for x in (self.base, pow(self.base, -1, 1 << 64))]
+            for step in steps:
+                step[0] = 1
+            self.up, self.down = map(np.cumprod, steps)
+
+
+POWERS = Powers()
+
+
+def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words before each text and in all) of texts side by side; text k ends before ends[k].
+
+    Each word is a polynomial of its bytes' numbers, read off running sums, so that a whole batch is hashed at once.
+    """
+    n = len(raw)
+    starts_of = np.concatenate([[0], ends[:-1]])
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(ends) + 1, np.int64)
+    POWERS.upto(n)
+    parts = PARTS[raw]
+    edge = np.zeros(n + 1, bool)
+    edge[starts_of] = edge[n] = True
+    first = np.flatnonzero(~parts & (np.concatenate([[True], parts[:-1]]) | edge[:-1]))
+    last = np.flatnonzero(~parts & (np.concatenate([parts[1:], [True]]) | edge[1:]))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[raw] * POWERS.up[:n])])
+    hashed = mix((total[last + 1] - total[first]) * POWERS.down[first] + (last - first).astype(np.uint64) * C1)
+    return hashed, np.append(np.searchsorted(first, starts_of), len(first))
+
+
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles; with fewer words the whole sequence is one, without any none."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    h, at = word_hashes(raw, offsets[1:] - offsets[0])
+    total = np.full(max(0, len(h) - words + 1), words, np.uint64)
+    for k in range(words if len(total) else 0):
+        total = mix(total * C1 + h[k : k + len(total)])
+    out = []
+    for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
+        if b - a >= words:
+            row = np.sort(total[a : b - words + 1])
+            out.append(row[np.concatenate([[True], row[1:] != row[:-1]])])
+        elif b > a:
+            whole = np.full(1, b - a, np.uint64)
+            for k in range(a, b):
+                whole = mix(whole * C1 + h[k : k + 1])
+            out.append(whole)
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def parity(members: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes modulo a power of two near the set's size: whether an odd number has it.
+
+    Two sets differ in as many members at least as their bits do, so the bits alone can rule out a link.
+    """
+    bits = 1 << max(6, len(members).bit_length())
+    return np.packbits(np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def parity_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two parities differ, the longer one folded to the shorter's length."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def set_id(members: np.ndarray) -> int:
@@ -113,26 +180,25 @@ class Bands:
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, sid (the set's id; null for an empty one) of each row."""
+    """doc_id, n_shingles, sid (the set's id; null for an empty one) and parity of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in rows_of(batches, 2000):
-            sets = [shingles(t, words, hashes) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "sid"])
+        for batch in rows_of(batches, 1000, "text", AT_ONCE):
+            sets = shingle_sets(batch.column("text"), words)
+            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "sid", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sid long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sid long, parity binary")
 
 
 def _index(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
     """key, sid, n: the keys of each distinct set of a task; n is negative in the band below the set's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
-        for batch in rows_of(batches, 500):
+        seen: set[int] = set()
+        for batch in rows_of(batches, 1000, "text", AT_ONCE):
             keys, ids, sizes = [], [], []
-            for text in batch.column("text").to_pylist():
-                members = shingles(text, words, hashes)
+            for members in shingle_sets(batch.column("text"), words):
                 sid = set_id(members) if len(members) else None
                 if sid is None or sid in seen:
                     continue
@@ -254,11 +320,10 @@ def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
-        for batch in rows_of(batches, 500):
+        seen: set[int] = set()
+        for batch in rows_of(batches, 1000, "text", AT_ONCE):
             made = []
-            for text in batch.column("text").to_pylist():
-                members = shingles(text, words, hashes)
+            for members in shingle_sets(batch.column("text"), words):
                 if not len(members) or (sid := set_id(members)) in seen or not int(sent.value[sid % FILTER_BITS // 64]) >> (sid % FILTER_BITS % 64) & 1:
                     continue
                 if len(seen) > SEEN:
@@ -289,6 +354,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _possible(pairs: DataFrame, parities: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs a, b that sizes and parities don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(batch.column("n").to_pylist(), batch.column("m").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                keep.append(bool(bands.sizes_fit(n, m)) and parity_distance(p, q) <= bands.differences(n, m))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+    one, two = (parities.select(F.col("sid").alias(s), F.col("n_shingles").alias(n), F.col("parity").alias(p)) for s, n, p in (("a", "n", "x"), ("b", "m", "y")))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node of its component) of every node of links (a, b).
 
@@ -350,38 +430,41 @@ def _needy(dear: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
 def near_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(set_rows, components of linked sets: node, root) of docs (doc_id, text); sets without links have no component."""
-    bands = Bands(num, den)
+    spark = docs.sparkSession
+    bands, folder = Bands(num, den), new_folder(spark, "near")
     rows = cut(set_rows(docs, words))
-    shared = cut(_groups(_index(docs, words, bands), bands))
+    parities = cut(rows.filter("sid is not null").select("sid", "n_shingles", "parity").dropDuplicates(["sid"]))
+    shared = stored(_groups(_index(docs, words, bands), bands), f"{folder}/shared")
     first = cut(_pairs(shared.filter("leader is not null"), "leader", "sid"))
-    wanted = first.select(F.col("a").alias("sid")).unionByName(first.select(F.col("b").alias("sid"))).unionByName(shared.filter("key is not null").select("sid")).distinct()
-    sets = cut(_sets(docs, words, wanted))
-    links = cut(_verified(first, sets, bands))
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = cut(_possible(pairs, parities, bands))
+        wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        return cut(_verified(pairs, stored(_sets(docs, words, wanted), f"{folder}/{name}"), bands))
+
+    links = linked(first, "first")
     joined = components(links)
 
-    def open_rows() -> DataFrame:
+    def opened(found: DataFrame) -> DataFrame:
         """Rows of keys that more than one component shares, with the components."""
-        comp = shared.filter("key is not null").join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+        comp = found.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
         several = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
         return comp.join(several, "key", "left_semi")
 
-    opened = cut(open_rows())
-    second = cut(_across(opened.filter("not dear").withColumn("kind", F.lit(0)), bands).join(first, ["a", "b"], "left_anti"))
-    more = cut(_verified(second, sets, bands))
+    second = cut(_across(opened(shared.filter("key is not null and not dear")).withColumn("kind", F.lit(0)), bands).join(first, ["a", "b"], "left_anti"))
+    more = linked(second, "second")
     if not more.isEmpty():
         links = links.unionByName(more)
         joined = components(links)
-    dear = opened.filter("dear").drop("comp").join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid"))
-    several = dear.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    dear = cut(dear.join(several, "key", "left_semi"))
+    dear = cut(opened(shared.filter("key is not null and dear")))
     if not dear.isEmpty():
-        needy = cut(_needy(dear, sets, bands))
+        needy = cut(_needy(dear, stored(_sets(docs, words, dear.select("sid").distinct()), f"{folder}/dear"), bands))
         third = _across(needy.filter("kind < 2"), bands).unionByName(_across(needy.filter("kind = 2").withColumn("kind", F.lit(0)), bands)).distinct()
-        third = cut(third.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"))
-        more = cut(_verified(third, sets, bands))
+        more = linked(third.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "third")
         if not more.isEmpty():
             joined = components(links.unionByName(more))
-    return rows, joined
+    remove_folder(spark, folder)
+    return rows.drop("parity"), joined
 
 
 def near_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

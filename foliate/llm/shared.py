@@ -37,6 +37,18 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def stored(frame: DataFrame, path: str) -> DataFrame:
+    """frame written as a compressed table below the shared folder, and read from there."""
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a job's folder, in whatever store it is, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def file_system(uri: str):
     """(file system, path in it) of a folder or file in any store that pyarrow can reach."""
     from pyarrow import fs
