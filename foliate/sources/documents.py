@@ -36,7 +36,7 @@ def parse_files(files: DataFrame, parser: Callable[[bytes], list[dict]], schema:
                     rows += [{"path": path, "md5": md5, "error": None} | page for page in parser(bytes(content))]
                 except Exception as problem:  # noqa: BLE001
                     rows.append({"path": path, "md5": md5, "error": str(problem)})
-            yield pd.DataFrame(rows).reindex(columns=names)
+            yield pd.DataFrame([[row.get(n) for n in names] for row in rows], columns=names, dtype=object)
 
     return files.select("path", "md5", "content").mapInPandas(run, out)
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_markdown(docs: DataFrame, folder: str, name: str = "markdown") -> None:
-    """One text file set for each doc_id, below doc_id=<id>."""
-    docs.select("doc_id", F.col(name).alias("value")).write.mode("overwrite").partitionBy("doc_id").option("lineSep", "\n").text(folder)
+    """A text file for each doc_id, below doc_id=<id>, with the very Markdown: the writer adds the last line end."""
+    docs.select("doc_id", F.regexp_replace(name, "\n$", "").alias("value")).write.mode("overwrite").partitionBy("doc_id").option("lineSep", "\n").text(folder)
 
 
 def metadata_json(*columns: str) -> Column:
