@@ -165,6 +165,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 3),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM i),
+r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY doc_id),
+c AS (
+  SELECT w.doc_id, lang, source, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS n_letters
+  FROM w LEFT JOIN r USING (doc_id)),
+v AS (
+  SELECT *, unnest([{'f': 1, 'slack': 100, 'x': n_symbols * 1000 // greatest(n_words, 1)}, {'f': 2, 'slack': 350, 'x': n_dup_lines * 1000 // greatest(n_lines, 1)},
+    {'f': 3, 'slack': 400, 'x': n_repeat_words * 1000 // greatest(n_words, 1)}, {'f': 4, 'slack': 250, 'x': n_upper * 1000 // greatest(n_letters, 1)}], recursive := true) FROM c),
+b AS (SELECT *, greatest(length(bin(x)) - 6, 0) AS shift FROM v),
+k AS (SELECT lang, source, f, slack, shift * 32 + (x >> CAST(shift AS BIGINT)) AS bucket, ((x >> CAST(shift AS BIGINT)) << CAST(shift AS BIGINT)) AS least, count(*) AS n FROM b WHERE n_words > 0 GROUP BY ALL),
+q AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, f ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY lang, source, f) AS total FROM k),
+t AS (SELECT lang, source, f, min(least) FILTER (4 * below >= total) AS q1, min(least) FILTER (4 * below >= 3 * total) AS q3, any_value(slack) AS slack FROM q GROUP BY ALL),
+o AS (
+  SELECT b.doc_id, bool_and(coalesce(x <= q3 + 3 * (q3 - q1) + t.slack, false)) AS inside
+  FROM b LEFT JOIN t ON b.lang IS NOT DISTINCT FROM t.lang AND b.source IS NOT DISTINCT FROM t.source AND b.f = t.f GROUP BY b.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND inside AS kept
+FROM c JOIN o USING (doc_id)
+"""
+
+
 QUERIES = {"op1_transducer_bpe": op1_transducer_bpe, "op2_toxicity": op2_toxicity, "op3_jaccard": op3_jaccard, "op4_hmm": op4_hmm, "op5_warc": op5_warc, "op6_chat": op6_chat, "op7_rans_ids": op7_rans_ids, "op8_best_fit": op8_best_fit, "op9_threshold_topk": op9_threshold_topk, "op10_quality": op10_quality}
 
-ORACLES: dict[str, str] = {"op3_jaccard": OP3_SQL, "op5_warc": OP5_SQL, "op6_chat": OP6_SQL, "op9_threshold_topk": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_jaccard": OP3_SQL, "op5_warc": OP5_SQL, "op6_chat": OP6_SQL, "op9_threshold_topk": OP9_SQL, "op10_quality": OP10_SQL}

@@ -23,8 +23,8 @@ CANDIDATES, QUERIES = 8192, 4096
 #: Entries that a query reads of each list before it looks at the bound for the first time; then twice as many.
 DEPTH = 32
 
-#: Components are kept within +-2**31, so that products and sums stay exact.
-LARGEST = 1 << 31
+#: Components and scores are kept within +-2**62 and 64 bits; below that all sums are exact.
+LARGEST = 1 << 62
 
 
 def quantized(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -47,7 +47,7 @@ class Lists:
     def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         if self.exact and float(np.abs(query).max(initial=0)) ** 2 * len(query) < 2**53:
             return self.vectors[rows] @ query  # integers of under 53 bits: doubles hold them exactly
-        return (self.vectors[rows].astype(object) * query.astype(np.int64).astype(object)).sum(1)
+        return (self.vectors[rows].astype(np.int64).astype(object) * query.astype(np.int64).astype(object)).sum(1)
 
     def top(self, query: np.ndarray, k: int, own: int) -> list[tuple[int, int]]:
         """The k best (score, id), ties to smaller ids, without the candidates whose id is `own`."""
@@ -112,6 +112,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
         all_x = _matrix(x, int(x.value_lengths().to_numpy(zero_copy_only=False).max(initial=0)))
         lists = Lists(ids[~q], all_x[~q])
         made = [(int(i), v, s) for i, row in zip(ids[q], all_x[q], strict=True) for s, v in lists.top(row, k, int(i))]
+        made = [(i, v, max(-(1 << 63), min((1 << 63) - 1, s))) for i, v, s in made]
         columns = list(zip(*made, strict=True)) or [(), (), ()]
         return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
