@@ -612,9 +612,9 @@ def crops(spark, sf):
     return I.crop_manifest(lifts.boxes(spark, sf), 850, 950).select("doc_id", "pos", "filename", *corners("crop"))
 
 
-@query("k05_embedded", "SELECT page_id AS doc_id, 'page1_fig' || (page_id % 5 + 1) || '.png' AS filename FROM pages WHERE page_id % 100 >= 50")
+@query("k05_embedded", "SELECT page_id AS doc_id, 'page1_fig' || (page_id % 5 + 1) || '.png' AS filename FROM pages WHERE page_id * 13 % 100 >= 50")
 def embedded(spark, sf):
-    rows = lifts.table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_number"), (F.col("page_id") % 5 + 1).alias("nth"), (F.col("page_id") % 100).alias("width"), F.lit(60).alias("height"))
+    rows = lifts.table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_number"), (F.col("page_id") % 5 + 1).alias("nth"), (F.col("page_id") * 13 % 100).alias("width"), F.lit(60).alias("height"))
     return I.embedded_manifest(rows).select("doc_id", "filename")
 
 
