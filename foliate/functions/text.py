@@ -55,10 +55,14 @@ def font_count(fonts: Column) -> Column:
 
 def width_variance(widths: Column) -> Column:
     """Population variance of an array of mean character widths; 0 for one or none."""
-    n = F.size(widths)
-    mean = F.aggregate(widths, F.lit(0.0), lambda a, w: a + w) / n
-    total = F.aggregate(widths, F.lit(0.0), lambda a, w: a + (w - mean) * (w - mean))
-    return F.when(n > 1, total / n).otherwise(F.lit(0.0))
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(a: Column, w: Column) -> Column:  # running mean and squares: one pass, nothing is computed anew for each element
+        n = a["n"] + 1.0
+        mean = a["mean"] + (w - a["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + (w - a["mean"]) * (w - mean)).alias("m2"))
+
+    return F.aggregate(widths, start, add, lambda a: F.when(a["n"] > 1, a["m2"] / a["n"]).otherwise(F.lit(0.0)))
 
 
 def quality_score(invalid: Column, fonts: Column, variance: Column, coherent: Column) -> Column:
