@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliate import config as C
 from foliate.operators.assemble import MarkdownConfig
 from foliate.operators.classify import DetectionConfig, classify, estimate, within_budget
+from foliate.operators import media as V
+from foliate.operators.detect import detect, detector
 from foliate.operators.layout import LayoutConfig, clean_layout
 from foliate.plans.convert import convert
 from foliate.sources.documents import check_requests, page_text_parser, parse_files, read_files
@@ -58,6 +61,23 @@ class Engine:
         self._report("convert")
         return convert(blocks, heights, config=MarkdownConfig(**self.settings["markdown"]))
 
+    def detect(self, pages: DataFrame, engine: str = "strips") -> DataFrame:
+        self._report("detect")
+        return detect(pages, detector(engine))
+
+    def audio(self, recordings: DataFrame, segments: DataFrame) -> DataFrame:
+        """video_id and markdown of recordings (video_id, url, title, uploader, duration) with a transcript."""
+        self._report("audio")
+        rows = recordings.join(V.transcripts(segments), "video_id")
+        return rows.select("video_id", V.audio_markdown(*(F.col(c) for c in ("url", "title", "uploader", "duration", "transcript"))).alias("markdown"))
+
+    def video(self, recordings: DataFrame) -> DataFrame:
+        """video_id and markdown of recordings that a model has understood (column understanding)."""
+        self._report("video")
+        s = self.settings["video"]
+        frames = F.size(V.frame_times(F.col("duration"), s["frame_interval_seconds"], s["max_key_frames"]))
+        return recordings.select("video_id", V.video_markdown(*(F.col(c) for c in ("url", "title", "uploader", "duration")), frames, F.col("understanding")).alias("markdown"))
+
     def check(self, requests: DataFrame) -> DataFrame:
         s = self.settings["api"]
         return check_requests(requests, s["max_file_size_mb"], s["max_pages"], s["async_threshold_pages"])

@@ -10,7 +10,7 @@ from foliate.functions.text import strip
 
 def duration_of(probe: Column) -> Column:
     """A probe's answer in seconds; null where it isn't a number."""
-    return probe.try_cast("double") if hasattr(probe, "try_cast") else probe.cast("double")
+    return probe.try_cast("double")
 
 
 def frame_times(duration: Column, interval: int = 30, most: int = 20) -> Column:
@@ -32,20 +32,24 @@ def transcripts(segments: DataFrame, key: str = "video_id") -> DataFrame:
     return rows.groupBy(key).agg(joined.alias("transcript"), F.count("*").alias("segments"))
 
 
+#: Words of the two documents' heads. Fixed values.
+UNKNOWN, AUDIO, VIDEO, SOURCE, UPLOADER, LENGTH, MINUTES, SECONDS, FRAMES = "未知", "音频转录", "视频理解", "> 视频来源：", "> UP主：", "> 时长：", "分", "秒", "> 分析帧数："
+
+
 def _head(title: Column, kind: str, url: Column, uploader: Column, duration: Column) -> list[Column]:
-    unknown = F.lit("未知")
+    unknown = F.lit(UNKNOWN)
     whole = F.coalesce(duration, F.lit(0)).cast("int")
     return [
-        F.concat(F.lit("# "), F.coalesce(title, unknown), F.lit(f" — {kind}")), F.lit(""), F.concat(F.lit("> 视频来源："), url), F.concat(F.lit("> UP主："), F.coalesce(uploader, unknown)),
-        F.concat(F.lit("> 时长："), F.floor(whole / 60).cast("string"), F.lit("分"), (whole % 60).cast("string"), F.lit("秒")),
+        F.concat(F.lit("# "), F.coalesce(title, unknown), F.lit(f" — {kind}")), F.lit(""), F.concat(F.lit(SOURCE), url), F.concat(F.lit(UPLOADER), F.coalesce(uploader, unknown)),
+        F.concat(F.lit(LENGTH), F.floor(whole / 60).cast("string"), F.lit(MINUTES), (whole % 60).cast("string"), F.lit(SECONDS)),
     ]
 
 
 def audio_markdown(url: Column, title: Column, uploader: Column, duration: Column, transcript: Column) -> Column:
-    lines = [*_head(title, "音频转录", url, uploader, duration), F.lit(""), F.lit("---"), F.lit(""), transcript, F.lit("")]
+    lines = [*_head(title, AUDIO, url, uploader, duration), F.lit(""), F.lit("---"), F.lit(""), transcript, F.lit("")]
     return F.concat_ws("\n", *lines)
 
 
 def video_markdown(url: Column, title: Column, uploader: Column, duration: Column, frames: Column, understanding: Column) -> Column:
-    lines = [*_head(title, "视频理解", url, uploader, duration), F.concat(F.lit("> 分析帧数："), frames.cast("string")), F.lit(""), F.lit("---"), F.lit(""), understanding, F.lit("")]
+    lines = [*_head(title, VIDEO, url, uploader, duration), F.concat(F.lit(FRAMES), frames.cast("string")), F.lit(""), F.lit("---"), F.lit(""), understanding, F.lit("")]
     return F.concat_ws("\n", *lines)

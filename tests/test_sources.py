@@ -55,3 +55,30 @@ def test_facade_and_command_line(spark, tmp_path, capsys):
     path = str(tmp_path / "c.yaml")
     assert main(["config", "init", path]) == 0 and main(["config", "validate", path]) == 0 and main(["version"]) == 0
     assert "valid" in capsys.readouterr().out
+
+
+def test_detectors_and_transcribers(spark):
+    from foliate.operators.detect import detector, transcribe
+
+    engine = Engine(spark)
+    pages = spark.createDataFrame([(1, 1, 300, 900)], "doc_id long, page_number int, width int, height int")
+    made = engine.layout(engine.detect(pages), 300).orderBy("reading_order").collect()
+    assert [r.block_type for r in made] == ["title", "text", "image"]
+    try:
+        detector("none")
+        raise AssertionError
+    except ValueError:
+        pass
+
+    class Model:
+        def transcribe(self, audio, start):
+            if start:
+                raise RuntimeError("noise")
+            return " hello "
+
+    chunks = spark.createDataFrame([(7, 0, 0), (7, 1, 600)], "video_id long, index long, start int")
+    segments = transcribe(chunks, Model)
+    assert {(r["index"], r.error) for r in segments.collect()} == {(0, None), (1, "noise")}
+    about = spark.createDataFrame([(7, "u", None, "me", 185.0, "seen")], "video_id long, url string, title string, uploader string, duration double, understanding string")
+    assert "hello" in engine.audio(about, segments).first().markdown and "3\u52065\u79d2" in engine.audio(about, segments).first().markdown
+    assert engine.video(about).first().markdown.endswith("seen\n")
