@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import rows_of
+from foliate.llm.shared import cut, most_frequent, rows_of
 from foliate.llm.tokens import BatchEncoder, PieceCutter, library_tokenizer, special_tokens
 
 #: Pieces in the lexicon, and counters that a task keeps while it looks for them.
@@ -274,7 +274,7 @@ def frequent_pieces(docs: DataFrame, tokenizer: str, most: int = LEXICON_PIECES)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
     summed = docs.select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece for r in summed.filter("n > 1").orderBy(F.desc("n"), "piece").limit(most).collect()]
+    return [r.piece for r in most_frequent(cut(summed.filter("n > 1")), most).orderBy(F.desc("n"), "piece").collect()]
 
 
 def compile_lexicon(pieces: list[str], tokenizer: str) -> bytes:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from foliate.llm.shared import WHITESPACE, cut
+from foliate.llm.shared import WHITESPACE, cut, step_of
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -89,9 +89,8 @@ def base_failed(words: Column, repeats: Column) -> Column:
 
 
 def bucket(value: Column) -> Column:
-    """The sketch's bucket of an integer of 0 or more: exact below 2 * STEPS, then STEPS steps for each power of two."""
-    shift = F.greatest(F.length(F.bin(value)) - (STEPS.bit_length()), F.lit(0))
-    return (shift * STEPS + F.call_function("shiftright", value, shift.cast("int"))).cast("int")
+    """The sketch's bucket of an integer of 0 or more."""
+    return step_of(value, STEPS)
 
 
 def bucket_value(number: Column) -> Column:

@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import cut, rows_of
+from foliate.llm.shared import about, cut, rows_of
 
-#: Labelled rows that lexicons and classifier are fitted on, those of least hash.
+#: Labelled rows, about so many by their hash, that lexicons and classifier are fitted on.
 LABELLED_ROWS = 20_000
 
 #: Tokens that the lexicons may hold, those with most evidence.
@@ -186,8 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = LABELLED_
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").filter(learn & F.col("doc_id").isNotNull())
     sample = labels.select("doc_id", "toxic").filter(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most `rows` pairs of numbers, so it may be broadcast
-    sample = cut(docs.join(F.broadcast(cut(sample)), "doc_id").select("text", "toxic"))
+    sample = cut(sample)
+    sample = sample.filter(about(F.col("doc_id"), rows, sample.count()))  # about `rows` pairs of numbers, so it may be broadcast
+    sample = cut(docs.join(F.broadcast(sample), "doc_id").select("text", "toxic"))
 
     lexicons = _mine(sample)
     spread = spark.sparkContext.broadcast(lexicons)
