@@ -63,14 +63,15 @@ def encode_segment(ids: np.ndarray, table: Table, lanes: int) -> tuple[np.ndarra
     """(states, words) from which decode_segment gets the ids back."""
     state = np.full(lanes, LOW, np.uint64)
     chunks: list[np.ndarray] = []
+    frequency, limit, first = table.frequency[ids], table.limit[ids], table.first[ids]
     for start in range((len(ids) - 1) // lanes * lanes, -1, -lanes):
-        row = ids[start : start + lanes]
-        x, f = state[: len(row)], table.frequency[row]
-        over = x >= table.limit[row]
+        f = frequency[start : start + lanes]
+        x = state[: len(f)]
+        over = x >= limit[start : start + lanes]
         chunks.append(x[over].astype(np.uint32))
         x = np.where(over, x >> WORD, x)
         q = x // f
-        state[: len(row)] = (q << np.uint64(SCALE_BITS)) + (x - q * f) + table.first[row]
+        state[: len(f)] = (q << np.uint64(SCALE_BITS)) + (x - q * f) + first[start : start + lanes]
     return state, np.concatenate(chunks[::-1]) if chunks else np.zeros(0, np.uint32)
 
 
@@ -123,10 +124,7 @@ def decode_block(block: bytes, table: Table, by_slot: np.ndarray, lanes: int = L
 
 def encode_file(doc_ids: list[int | None], ids: list[np.ndarray], block_ids: int = BLOCK_IDS, lanes: int = LANES) -> tuple[bytes, list[bytes], list[tuple[int, int]]]:
     """(header, blocks, (ids, documents) of each block). The table is made from these very ids."""
-    flat_counts = np.zeros(max((int(x.max()) for x in ids if len(x)), default=0) + 1, np.int64)
-    for x in ids:
-        flat_counts += np.bincount(x, minlength=len(flat_counts))
-    table = Table(frequencies(flat_counts))
+    table = Table(frequencies(np.bincount(np.concatenate(ids), minlength=1)))
     packed = table.packed()
     blocks, sizes, start, held = [], [], 0, 0
     for k, x in enumerate(ids):
