@@ -29,12 +29,18 @@ from foliate.llm.shared import WHITESPACE, cut, new_folder, remove_folder, rows_
 #: A key that more documents share is dear.
 CHEAP = 24
 
+#: Sets in a block of comparisons within large groups, and bits of the short parities that tell which are needed.
+BLOCK, SHORT = 256, 256
+
 #: Bits of the filter that tells which documents' sets are needed; a fixed size, however many there are.
 FILTER_BITS = 1 << 24
 
 #: Up to so many ids go to every executor; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Links that one task joins at most; more are joined by rounds over all executors.
+FOREST = 2_000_000
+
 #: Sets that a task remembers to have indexed, and bytes of text that it hashes at once.
 SEEN, AT_ONCE = 200_000, 1 << 20
 
@@ -118,12 +124,12 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def parity(members: np.ndarray) -> bytes:
+def parity(members: np.ndarray, bits: int | None = None) -> bytes:
     """A bit for each residue of the hashes modulo a power of two near the set's size: whether an odd number has it.
 
     Two sets differ in as many members at least as their bits do, so the bits alone can rule out a link.
     """
-    bits = 1 << max(6, len(members).bit_length())
+    bits = bits or 1 << max(6, len(members).bit_length())
     return np.packbits(np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -146,7 +152,7 @@ class Bands:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
 
-    def differences(self, a: int, b: int) -> int:
+    def differences(self, a, b):
         return (self.den - self.num) * (a + b) // (self.den + self.num)
 
     def alike(self, common, a, b):
@@ -192,12 +198,15 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _index(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """key, sid, n: the keys of each distinct set of a task; n is negative in the band below the set's own."""
+    """key, sid, n, spare: the keys of each distinct set of a task; n is negative in the band below the set's own.
+
+    spare: how many of the set's keys may be dear before its other ones don't suffice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in rows_of(batches, 1000, "text", AT_ONCE):
-            keys, ids, sizes = [], [], []
+            keys, ids, sizes, spares = [], [], [], []
             for members in shingle_sets(batch.column("text"), words):
                 sid = set_id(members) if len(members) else None
                 if sid is None or sid in seen:
@@ -210,72 +219,68 @@ def _index(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                     keys.append(own.view(np.int64))
                     ids.append(np.full(len(own), sid, np.int64))
                     sizes.append(np.full(len(own), -len(members) if k else len(members), np.int32))
+                    spares.append(np.full(len(own), len(own) - bands.most_differences(len(members), band), np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes)], names=["key", "sid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes, spares)], names=["key", "sid", "n", "spare"])
 
-    return docs.select("text").mapInArrow(run, "key long, sid long, n int")
+    return docs.select("text").mapInArrow(run, "key long, sid long, n int, spare int")
 
 
 def _groups(index: DataFrame, bands: Bands) -> DataFrame:
-    """key, sid, n, leader, dear: rows of keys that several sets share, read as a stream in order of keys.
+    """key, sid, n, spare, leader, dear: rows of keys that several sets share, read as a stream in order of keys.
 
-    leader is the key's first set, null where sizes rule out a link with it. Keys of two sets are done with that one
-    comparison: they give one row without a key.
+    leader is a cheap key's first set, null for dear keys and where sizes rule out a link with it. Keys of two sets are
+    done with that one comparison: they give one row without a key.
     """
-    names = ["key", "sid", "n", "leader", "dear"]
+    names = ["key", "sid", "n", "spare", "leader", "dear"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64) for _ in range(3)]  # the last key's rows, which the next batch may go on with
-        head: tuple[int, int, int] | None = None  # the key of a dear run under way, with its leader and that one's size
+        held = [np.zeros(0, np.int64) for _ in range(4)]  # the last key's rows, which the next batch may go on with
+        dear_key: int | None = None  # of a dear run under way
 
-        def led(sid: np.ndarray, n: np.ndarray, leader, leader_n) -> pa.Array:
-            fit = bands.sizes_fit(np.abs(n), np.abs(leader_n)) & ((n > 0) | (np.asarray(leader_n) > 0)) & (sid != leader)
-            return pa.array(np.broadcast_to(leader, sid.shape), mask=~fit)
+        def led(sid: np.ndarray, n: np.ndarray, leader: np.ndarray, leader_n: np.ndarray) -> pa.Array:
+            fit = bands.sizes_fit(np.abs(n), np.abs(leader_n)) & ((n > 0) | (leader_n > 0)) & (sid != leader)
+            return pa.array(leader, mask=~fit)
 
-        def rows(key, sid: np.ndarray, n: np.ndarray, leaders: pa.Array, dear: bool, with_key: bool = True) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key) if with_key else pa.nulls(len(sid), pa.int64()), pa.array(sid), pa.array(n.astype(np.int32)), leaders, pa.array(np.full(len(sid), dear))], names=names)
+        def rows(key, sid: np.ndarray, n: np.ndarray, spare: np.ndarray, leaders, dear: bool) -> pa.RecordBatch:
+            nothing = pa.nulls(len(sid), pa.int64())
+            columns = [nothing if key is None else pa.array(key), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(spare.astype(np.int32)), nothing if leaders is None else leaders, pa.array(np.full(len(sid), dear))]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
-        def closed(key: np.ndarray, sid: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])])
-            key, sid, n = key[new], sid[new], n[new]  # a set that several tasks indexed counts once
+        def closed(*all_: np.ndarray) -> Iterator[pa.RecordBatch]:
+            new = np.concatenate([[True], (all_[0][1:] != all_[0][:-1]) | (all_[1][1:] != all_[1][:-1])])
+            key, sid, n, spare = (x[new] for x in all_)  # a set that several tasks indexed counts once
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(first, len(key)))
-            two = first[sizes == 2]
-            if len(two):
-                leaders = led(sid[two + 1], n[two + 1], sid[two], n[two])
-                some = leaders.is_valid().to_numpy(zero_copy_only=False)
-                if some.any():
-                    yield rows(None, sid[two + 1][some], n[two + 1][some], leaders.filter(pa.array(some)), False, False)
-            many = sizes > 2
-            take = np.repeat(many, sizes)
-            if take.any():
-                start = np.repeat(first, sizes)[take]
-                made = rows(key[take], sid[take], n[take], led(sid[take], n[take], sid[start], n[start]), False)
-                dear = np.repeat(sizes > CHEAP, sizes)[take]
-                yield made.set_column(4, "dear", pa.array(dear))
+            start = np.repeat(first, sizes)
+            for take, keyed, dear in ((np.repeat(sizes == 2, sizes), False, False), (np.repeat((sizes > 2) & (sizes <= CHEAP), sizes), True, False), (np.repeat(sizes > CHEAP, sizes), True, True)):
+                if take.any():
+                    leaders = None if dear else led(sid[take], n[take], sid[start[take]], n[start[take]])
+                    made = rows(key[take] if keyed else None, sid[take], n[take], spare[take], leaders, dear)
+                    yield made if keyed else made.filter(leaders.is_valid())
 
         for batch in batches:
-            key, sid, n = (batch.column(c).to_numpy() for c in ("key", "sid", "n"))
-            if head is not None:
-                stop = int(np.searchsorted(key, head[0], side="right"))
+            here = [batch.column(c).to_numpy() for c in names[:4]]
+            if dear_key is not None:
+                stop = int(np.searchsorted(here[0], dear_key, side="right"))
                 if stop:
-                    yield rows(key[:stop], sid[:stop], n[:stop], led(sid[:stop], n[:stop], head[1], head[2]), True)
-                if stop == len(key):
+                    yield rows(*(x[:stop] for x in here), None, True)
+                if stop == len(here[0]):
                     continue
-                key, sid, n, head = key[stop:], sid[stop:], n[stop:], None
-            key, sid, n = (np.concatenate([a, b]) for a, b in zip(held, (key, sid, n), strict=True))
-            last = int(np.searchsorted(key, key[-1], side="left")) if len(key) else 0
+                here, dear_key = [x[stop:] for x in here], None
+            here = [np.concatenate(x) for x in zip(held, here, strict=True)]
+            last = int(np.searchsorted(here[0], here[0][-1], side="left")) if len(here[0]) else 0
             if last:
-                yield from closed(key[:last], sid[:last], n[:last])
-            held = [key[last:], sid[last:], n[last:]]
+                yield from closed(*(x[:last] for x in here))
+            held = [x[last:] for x in here]
             if len(held[0]) and len(np.unique(held[1])) > CHEAP:
-                head = (int(held[0][0]), int(held[1][0]), int(held[2][0]))
-                yield rows(held[0], held[1], held[2], led(held[1], held[2], head[1], head[2]), True)
-                held = [np.zeros(0, np.int64) for _ in range(3)]
+                dear_key = int(held[0][0])
+                yield rows(*held, None, True)
+                held = [x[:0] for x in held]
         if len(held[0]):
             yield from closed(*held)
 
-    return index.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(run, "key long, sid long, n int, leader long, dear boolean")
+    return index.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(run, "key long, sid long, n int, spare int, leader long, dear boolean")
 
 
 def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
@@ -283,33 +288,100 @@ def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
     return rows.select(a.alias("a"), b.alias("b")).filter("a < b").groupBy("a", "b").agg(F.lit(1).alias("_")).drop("_")
 
 
+#: What a row of a group stands for: the plain key of a segment; a segment's subset, or that without one member; DEAR is
+#: added where the segment's plain key is dear.
+PLAIN, WHOLE, WITHOUT, DEAR = -1, 0, 1, 4
+
+
 def _across(groups: DataFrame, bands: Bands) -> DataFrame:
-    """a, b of all pairs across components in groups of (sid, n, comp, kind); pairs of kind 1 with kind 1 don't count."""
+    """a, b of all pairs across components in groups of (key, sid, n, comp), of CHEAP sets at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made_a, made_b, held = [], [], 0
         for batch in batches:
+            made_a, made_b = [], []
             for group in batch.column("group"):
-                flat = group.values
-                sid, n, comp, kind = (flat.field(k).to_numpy() for k in range(4))
+                sid, n, comp = (group.values.field(k).to_numpy() for k in range(3))
                 for k in range(len(sid) - 1):
                     rest = slice(k + 1, None)
-                    fit = (comp[rest] != comp[k]) & (sid[rest] != sid[k]) & (kind[rest] + kind[k] < 2) & ((n[rest] > 0) | (n[k] > 0)) & bands.sizes_fit(np.abs(n[rest]), abs(int(n[k])))
-                    other = sid[rest][fit]
-                    if len(other):
-                        made_a.append(np.full(len(other), sid[k]))
-                        made_b.append(other)
-                        held += len(other)
-                    if held > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made_a)), pa.array(np.concatenate(made_b))], names=["x", "y"])
-                        made_a, made_b, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made_a)), pa.array(np.concatenate(made_b))], names=["x", "y"])
-
-    listed = groups.groupBy("key").agg(F.collect_list(F.struct("sid", "n", "comp", "kind")).alias("group"))
+                    fit = (comp[rest] != comp[k]) & (sid[rest] != sid[k]) & ((n[rest] > 0) | (n[k] > 0)) & bands.sizes_fit(np.abs(n[rest]), abs(int(n[k])))
+                    made_b.append(sid[rest][fit])
+                    made_a.append(np.full(len(made_b[-1]), sid[k]))
+            if made_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made_a)), pa.array(np.concatenate(made_b))], names=["x", "y"])
+
+    listed = groups.groupBy("key").agg(F.collect_list(F.struct("sid", "n", "comp")).alias("group"))
     return _pairs(listed.select("group").mapInArrow(run, "x long, y long"), "x", "y")
 
 
+def _relations(rows: DataFrame, bands: Bands) -> DataFrame:
+    """sid, other: sets, and larger components that have a set in one of their groups which sizes and short parities
+    don't rule out, from rows (key, sid, n, comp, size, kind, bits).
+
+    A set stands against a component as a whole, so a group of copies costs a row for each that has not joined it, not
+    one for each pair. Plain rows meet each other; subsets meet those without a member if one of the segments is cheap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made_a, made_b = [], []
+            for group in batch.column("group"):
+                sid, comp, size, kind, n = (group.values.field(k).to_numpy() for k in range(5))
+                bits = np.frombuffer(b"".join(group.values.field(5).to_pylist()), np.uint64).reshape(len(sid), -1)
+                _, rank = np.unique(np.stack([size, comp], 1), axis=0, return_inverse=True)
+                rank = rank.ravel()
+                plain = kind == PLAIN
+                few, many = np.flatnonzero(kind % 2 == 1), np.flatnonzero(kind % 2 == 0)
+                if plain.any():
+                    few = many = np.flatnonzero(plain)
+                elif len(many) < len(few):
+                    few, many = many, few
+                for k in few:
+                    rest = many[(rank[many] != rank[k]) & (np.minimum(kind[many], kind[k]) < DEAR)]
+                    rest = rest[bands.sizes_fit(n[rest], n[k])]
+                    rest = rest[np.bitwise_count(bits[rest] ^ bits[k]).sum(1) <= bands.differences(n[rest], n[k])]
+                    larger, smaller = np.unique(comp[rest[rank[rest] > rank[k]]]), rest[rank[rest] < rank[k]]
+                    made_a += [np.full(len(larger), sid[k]), sid[smaller[:0] if plain.any() else smaller]]
+                    made_b += [larger, np.full(len(made_a[-1]), comp[k])]
+            if made_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made_a)), pa.array(np.concatenate(made_b))], names=["sid", "other"])
+
+    listed = rows.groupBy("key").agg(F.collect_set(F.struct("sid", "comp", "size", "kind", "n", "bits")).alias("group"), F.collect_set("kind").alias("kinds")).filter(F.size("group") > 1)
+    several = F.exists("kinds", lambda k: k == PLAIN) | (F.exists("kinds", lambda k: k % 2 == 1) & F.exists("kinds", lambda k: k % 2 == 0) & F.exists("kinds", lambda k: k < DEAR))
+    return listed.filter(several).select("group").mapInArrow(run, "sid long, other long").groupBy("sid", "other").agg(F.lit(1).alias("_")).drop("_")
+
+
+def _joined_to(relations: DataFrame, members: DataFrame, bands: Bands) -> DataFrame:
+    """a, b: a link of each set with a component that it is related to, if it has one.
+
+    members: sid, comp, members of all sets that may be partners. Sets and components meet in blocks of about BLOCK sets
+    each, whose number follows their counts.
+    """
+    blocks = lambda rows, by, name: rows.groupBy(F.col(by).alias("comp")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    shape = cut(blocks(relations, "other", "rows_").join(blocks(members, "comp", "columns_"), "comp"))
+    share = lambda name: F.pmod(F.xxhash64("sid"), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    asked = relations.withColumnRenamed("other", "comp").join(members.select("sid", "members"), "sid").join(shape, "comp")
+    asked = asked.select("comp", share("rows_").alias("r"), every("columns_").alias("c"), "sid", "members", F.lit(True).alias("asks"))
+    there = members.join(shape, "comp").select("comp", every("rows_").alias("r"), share("columns_").alias("c"), "sid", "members", F.lit(False).alias("asks"))
+
+    def run(group: pa.Table) -> pa.Table:
+        asks, sids = group["asks"].to_numpy(), group["sid"].to_numpy()
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in group["members"]]
+        bits = [np.frombuffer(parity(m), np.uint8) for m in sets]
+        links = []
+        for x in np.flatnonzero(asks):
+            for y in np.flatnonzero(~asks):
+                n, m = len(sets[x]), len(sets[y])
+                if not bands.sizes_fit(n, m) or parity_distance(bits[x], bits[y]) > bands.differences(n, m):
+                    continue
+                if bands.alike(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), n, m):
+                    links.append((sids[x], sids[y]))
+                    break
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return asked.unionByName(there).groupBy("comp", "r", "c").applyInArrow(run, "a long, b long")
+
+
 def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     """sid, members (sorted hashes) of the wanted sids: those that a filter of FILTER_BITS lets through, then exactly."""
     bit = F.pmod("sid", F.lit(FILTER_BITS))
@@ -369,13 +441,42 @@ def _possible(pairs: DataFrame, parities: DataFrame, bands: Bands) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def _forest(links: DataFrame, roots: bool) -> DataFrame:
+    """u, v: each partition's links as a spanning forest, a row (node, least node of its tree) for each node but roots;
+    with `roots` for these too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while parent.setdefault(top, top) != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                parent[max(x, y)] = min(x, y)
+        rows = [(x, r) for x in list(parent) if (r := root(x)) != x or roots]
+        for k in range(0, len(rows), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + 100_000], strict=True)], names=["u", "v"])
+
+    return links.mapInArrow(run, "u long, v long")
+
+
+def components(links: DataFrame, most: int = FOREST) -> DataFrame:
     """node, root (the least node of its component) of every node of links (a, b).
 
-    Large-star and small-star rounds: each node's neighbours move to the least of them until nothing changes. A node
-    with very many neighbours is summed before the shuffle and joined, never gathered.
+    Each partition first reduces its links to a forest. If those have `most` rows at most, one task joins them; else
+    large-star and small-star rounds move each node's neighbours to the least of them until nothing changes. A node with
+    very many neighbours is summed before the shuffle and joined, never gathered.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    edges = cut(_forest(links.select("a", "b"), False))
+    if edges.count() <= most:
+        return cut(_forest(edges.coalesce(1), True)).select(F.col("u").alias("node"), F.col("v").alias("root"))
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -393,17 +494,18 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _needy(dear: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """What sets need whose cheap segments don't suffice: rows (key, sid, n, comp, kind).
+    """What sets need whose cheap segments don't suffice: rows (key, sid, n, comp, size, kind, bits).
 
-    kind 0 and 1: a cheap segment's subset, and its subsets without one member. kind 2: nothing will do but the dear
-    keys, given here once more.
+    The one-deletion neighbourhoods of all their segments: a partner that agrees in no cheap segment, not even but for
+    one member, differs twice in each. Where not even that is too much, the dear keys follow once more, as plain ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = []
+            bits: list[tuple[bytes, int]] = []
             for row in range(batch.num_rows):
-                sid, n, comp = (batch.column(c)[row].as_py() for c in ("sid", "n", "comp"))
+                sid, n, comp, size = (batch.column(c)[row].as_py() for c in ("sid", "n", "comp", "size"))
                 members = np.frombuffer(batch.column("members")[row].as_buffer(), np.uint64)
                 used = batch.column("keys")[row].values.to_numpy()
                 band = abs(n).bit_length() - (1 if n > 0 else 2)
@@ -413,19 +515,22 @@ def _needy(dear: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
                 if cheap.sum() > most:
                     continue
                 whole, first, base = bands.keys(members, band, 1)
-                size = np.diff(np.append(first, len(members)))
-                inside = np.repeat(np.arange(len(first)), size)
+                inside = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(members))))
                 hashed = mix(members * C1)
-                without = mix((np.add.reduceat(hashed, first)[inside] - hashed) ^ base[inside])[cheap[inside]]
-                made = [(whole[cheap].view(np.int64), 0), (without.view(np.int64), 1)]
+                without = mix((np.add.reduceat(hashed, first)[inside] - hashed) ^ base[inside])
+                level = np.where(cheap, 0, DEAR).astype(np.int32)
+                made = [(whole.view(np.int64), WHOLE + level), (without.view(np.int64), WITHOUT + level[inside])]
                 if 2 * cheap.sum() <= most:
-                    made.append((used, 2))
-                out += [[k, np.full(len(k), sid), np.full(len(k), n, np.int32), np.full(len(k), comp), np.full(len(k), kind, np.int32)] for k, kind in made]
+                    made.append((used, np.full(len(used), PLAIN, np.int32)))
+                bits.append((parity(members, SHORT), sum(len(k) for k, _ in made)))
+                out += [[k, np.full(len(k), sid), np.full(len(k), len(members)), np.full(len(k), comp), np.full(len(k), size), kind] for k, kind in made]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["key", "sid", "n", "comp", "kind"])
+                short = np.concatenate([np.tile(np.frombuffer(b, np.uint8), (k, 1)) for b, k in bits])
+                column = pa.Array.from_buffers(pa.binary(SHORT // 8), len(short), [None, pa.py_buffer(short.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), column], names=["key", "sid", "n", "comp", "size", "kind", "bits"])
 
-    by_set = dear.groupBy("sid", "n", "comp").agg(F.collect_list("key").alias("keys"))  # a key for each segment at most
-    return by_set.join(sets, "sid").select("sid", "n", "comp", "keys", "members").mapInArrow(run, "key long, sid long, n int, comp long, kind int")
+    by_set = dear.groupBy("sid", "n", "comp", "size").agg(F.collect_list("key").alias("keys"))  # a key for each segment at most
+    return by_set.join(sets, "sid").select("sid", "n", "comp", "size", "keys", "members").mapInArrow(run, "key long, sid long, n long, comp long, size long, kind int, bits binary")
 
 
 def near_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -435,7 +540,11 @@ def near_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
     rows = cut(set_rows(docs, words))
     parities = cut(rows.filter("sid is not null").select("sid", "n_shingles", "parity").dropDuplicates(["sid"]))
     shared = stored(_groups(_index(docs, words, bands), bands), f"{folder}/shared")
-    first = cut(_pairs(shared.filter("leader is not null"), "leader", "sid"))
+    dear = shared.filter("dear")
+    scarce = dear.groupBy("sid", "n").agg(F.count_distinct("key").alias("keys"), F.max("spare").alias("spare")).filter("keys >= spare").select("sid", "n")
+    dear = cut(dear.select("key", "sid", "n").distinct().join(scarce, ["sid", "n"]))  # other sets have cheap keys enough
+    star = dear.join(dear.groupBy("key").agg(F.min("sid").alias("leader")), "key").select("leader", "sid")
+    first = cut(_pairs(shared.filter("leader is not null").select("leader", "sid").unionByName(star), "leader", "sid"))
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = cut(_possible(pairs, parities, bands))
@@ -451,16 +560,18 @@ def near_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
         several = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
         return comp.join(several, "key", "left_semi")
 
-    second = cut(_across(opened(shared.filter("key is not null and not dear")).withColumn("kind", F.lit(0)), bands).join(first, ["a", "b"], "left_anti"))
+    second = cut(_across(opened(shared.filter("key is not null and not dear")), bands).join(first, ["a", "b"], "left_anti"))
     more = linked(second, "second")
     if not more.isEmpty():
         links = links.unionByName(more)
         joined = components(links)
-    dear = cut(opened(shared.filter("key is not null and dear")))
+    sizes = joined.groupBy(F.col("root").alias("comp")).agg(F.count("*").alias("size"))
+    dear = cut(opened(dear).join(sizes, "comp", "left").fillna(1, ["size"]))
     if not dear.isEmpty():
-        needy = cut(_needy(dear, stored(_sets(docs, words, dear.select("sid").distinct()), f"{folder}/dear"), bands))
-        third = _across(needy.filter("kind < 2"), bands).unionByName(_across(needy.filter("kind = 2").withColumn("kind", F.lit(0)), bands)).distinct()
-        more = linked(third.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "third")
+        sets = stored(_sets(docs, words, dear.select("sid").distinct()), f"{folder}/dear")
+        needy = stored(_needy(dear, sets, bands), f"{folder}/needy")
+        members = cut(needy.select("sid", "comp").distinct().join(sets, "sid"))
+        more = cut(_joined_to(cut(_relations(needy, bands)), members, bands))
         if not more.isEmpty():
             joined = components(links.unionByName(more))
     remove_folder(spark, folder)
