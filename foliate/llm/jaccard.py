@@ -8,8 +8,9 @@ there. What those keys cost decides how a document is matched:
 1. Every key's documents are compared with one of them. Linked documents form components.
 2. Keys that still join several components get all pairs across these, if few documents share them.
 3. A key that many share is dear. A document with more than D cheap segments needs no dear key: a partner that agrees in
-   none of its cheap segments would differ too often. One with fewer allots two differences to each cheap segment by
-   indexing the one-deletion neighbourhoods of its subsets; only if even these don't suffice, its dear keys are used.
+   none of its cheap segments would differ too often. One with fewer allots two differences to each cheap segment (one
+   to a segment of one member, which the partner may lack) by indexing the one-deletion neighbourhoods of its subsets;
+   only if even these don't suffice, its dear keys are used.
 
 All candidates are verified on the whole sets. Sets are of 64-bit hashes, and so are a set's id and a segment's key.
 """
@@ -497,7 +498,8 @@ def _needy(dear: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """What sets need whose cheap segments don't suffice: rows (key, sid, n, comp, size, kind, bits).
 
     The one-deletion neighbourhoods of all their segments: a partner that agrees in no cheap segment, not even but for
-    one member, differs twice in each. Where not even that is too much, the dear keys follow once more, as plain ones.
+    one member, differs twice in each, or once where the set has one member and the partner none: an empty segment has no
+    row to meet. Where not even that is too much, the dear keys follow once more, as plain ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -520,7 +522,7 @@ def _needy(dear: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
                 without = mix((np.add.reduceat(hashed, first)[inside] - hashed) ^ base[inside])
                 level = np.where(cheap, 0, DEAR).astype(np.int32)
                 made = [(whole.view(np.int64), WHOLE + level), (without.view(np.int64), WITHOUT + level[inside])]
-                if 2 * cheap.sum() <= most:
+                if np.minimum(np.diff(np.append(first, len(members))), 2)[cheap].sum() <= most:
                     made.append((used, np.full(len(used), PLAIN, np.int32)))
                 bits.append((parity(members, SHORT), sum(len(k) for k, _ in made)))
                 out += [[k, np.full(len(k), sid), np.full(len(k), len(members)), np.full(len(k), comp), np.full(len(k), size), kind] for k, kind in made]

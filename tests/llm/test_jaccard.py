@@ -79,3 +79,11 @@ def test_components_by_rounds_and_in_one_task(spark):
     loops = {a for a, b in links if a == b}
     assert all(many[n] == r for n, r in one.items() if n in many) and set(one) - set(many) <= loops
     assert one[60] == 0 and one[1099] == 1000
+
+
+def test_hot_group_of_short_texts_and_one_more_word(spark):
+    rng, rows = random.Random(7), []
+    for base in range(12):
+        words = [f"b{base}x{k}" for k in range(9 + base % 5)]
+        rows += [(1000 * base + k, " ".join(words + [f"w{rng.randrange(10**9)}"] * (k > 0))) for k in range(60)]
+    check(spark, rows)
