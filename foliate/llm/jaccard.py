@@ -172,9 +172,9 @@ class Bands:
         return [own, own - 1] if own and -(-n * self.num // self.den) < 1 << own else [own]
 
     def most_differences(self, n: int, band: int) -> int:
-        """Between a set of n and any partner of its size or less (own band: or more) in the band."""
+        """Between a set of n and any partner that indexes in the band: in its own band also larger ones of the next."""
         top = (2 << band) - 1
-        return self.differences(n, min(top, n * self.den // self.num))
+        return self.differences(n, n * self.den // self.num if n <= top else top)
 
     def keys(self, members: np.ndarray, band: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key of each segment that has members, where its members begin, their sums before the last mixing)."""

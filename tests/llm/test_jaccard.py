@@ -1,7 +1,9 @@
 import itertools
 import random
 
-from foliate.llm.jaccard import components, near_classes, near_filter
+import pyarrow as pa
+
+from foliate.llm.jaccard import Bands, components, near_classes, near_filter, shingle_sets
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -87,3 +89,18 @@ def test_hot_group_of_short_texts_and_one_more_word(spark):
         words = [f"b{base}x{k}" for k in range(9 + base % 5)]
         rows += [(1000 * base + k, " ".join(words + [f"w{rng.randrange(10**9)}"] * (k > 0))) for k in range(60)]
     check(spark, rows)
+
+
+def test_hot_group_and_a_copy_in_the_band_below(spark):
+    rng, rows, bands, hub = random.Random(8), [], Bands(85, 100), 0
+    while len(rows) < 2 * 130:
+        hub += 1
+        words = [f"h{hub}x{k}" for k in range(37)]
+        one, other = (bands.keys(s, 4)[0] for s in shingle_sets(pa.array([" ".join(words), " ".join(words[:32])]), 4))
+        if len(set(other.tolist()) - set(one.tolist())) < 5:  # segments in which the copy differs
+            continue
+        rows += [(1000 * hub, " ".join(words)), (1000 * hub + 1, " ".join(words[:32]))]
+        for k in range(2, 130):
+            at = rng.randrange(4, 29)
+            rows.append((1000 * hub + k, " ".join(words[:at] + [f"w{rng.randrange(10**9)}"] + words[at + 1 :])))
+    check(spark, rows)
