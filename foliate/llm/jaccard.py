@@ -3,7 +3,9 @@
 Two sets of sizes a and b with similarity num/den or more differ in at most D = floor((den-num)/(den+num) (a+b)) shingles.
 Shingles are hashed into segments, more of them than D, so some segments of the two are equal. A document indexes the
 subset of its shingles in each segment: in the partition of its own size band, and in the one below if a partner may be
-there. What those keys cost decides how a document is matched:
+there. A set with members in D segments at most may share only empty ones with a partner, which then has as few: it
+indexes its D + 1 least shingles as well, among which is the least one that both have. What keys cost decides how a
+document is matched:
 
 1. Every key's documents are compared with one of them. Linked documents form components.
 2. Keys that still join several components get all pairs across these, if few documents share them.
@@ -185,6 +187,11 @@ class Bands:
         base = mix(segment[first] * C2 + np.uint64(band + 64 * salt + 1))
         return mix(sums ^ base), first, base
 
+    def least(self, members: np.ndarray, band: int, segments: int) -> np.ndarray:
+        """Keys of a set's least shingles, if it has members in so few segments that a partner may share none of these."""
+        most = self.most_differences(len(members), band)
+        return mix(mix(members[: most + 1] * C1) ^ mix(np.full(1, band + 129, np.uint64))) if segments <= most else members[:0]
+
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, sid (the set's id; null for an empty one) and parity of each row."""
@@ -201,7 +208,7 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
 def _index(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
     """key, sid, n, spare: the keys of each distinct set of a task; n is negative in the band below the set's own.
 
-    spare: how many of the set's keys may be dear before its other ones don't suffice.
+    spare: how many of the set's segments may have dear keys before the other ones don't suffice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +224,12 @@ def _index(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                 seen.add(sid)
                 for k, band in enumerate(bands.bands_of(len(members))):
                     own = bands.keys(members, band)[0]
+                    spare = len(own) - bands.most_differences(len(members), band)
+                    own = np.concatenate([own, bands.least(members, band, len(own))])
                     keys.append(own.view(np.int64))
                     ids.append(np.full(len(own), sid, np.int64))
                     sizes.append(np.full(len(own), -len(members) if k else len(members), np.int32))
-                    spares.append(np.full(len(own), len(own) - bands.most_differences(len(members), band), np.int32))
+                    spares.append(np.full(len(own), spare, np.int32))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes, spares)], names=["key", "sid", "n", "spare"])
 
@@ -531,7 +540,7 @@ def _needy(dear: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
                 column = pa.Array.from_buffers(pa.binary(SHORT // 8), len(short), [None, pa.py_buffer(short.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), column], names=["key", "sid", "n", "comp", "size", "kind", "bits"])
 
-    by_set = dear.groupBy("sid", "n", "comp", "size").agg(F.collect_list("key").alias("keys"))  # a key for each segment at most
+    by_set = dear.groupBy("sid", "n", "comp", "size").agg(F.collect_list("key").alias("keys"))  # a key for each segment or shingle at most
     return by_set.join(sets, "sid").select("sid", "n", "comp", "size", "keys", "members").mapInArrow(run, "key long, sid long, n long, comp long, size long, kind int, bits binary")
 
 

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from foliate.llm.jaccard import Bands, components, near_classes, near_filter, shingle_sets
@@ -104,3 +105,26 @@ def test_hot_group_and_a_copy_in_the_band_below(spark):
             at = rng.randrange(4, 29)
             rows.append((1000 * hub + k, " ".join(words[:at] + [f"w{rng.randrange(10**9)}"] + words[at + 1 :])))
     check(spark, rows)
+
+
+def test_pairs_of_few_shingles(spark):
+    rng, rows = random.Random(9), []
+    for pair in range(500):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(9 + pair % 2)]
+        rows += [(2 * pair, " ".join(words[:-1])), (2 * pair + 1, " ".join(words))]
+    check(spark, rows, 5, 80, 100)
+
+
+def test_sets_in_few_segments_share_a_key():
+    rng, bands, seen = np.random.default_rng(10), Bands(85, 100), 0
+    for _ in range(20_000):
+        larger = np.sort(rng.integers(0, 1 << 64, 8, dtype=np.uint64, endpoint=False))
+        for n in (7, 8):
+            b = larger[:n]
+            a = np.delete(b, rng.integers(n))
+            for band in set(bands.bands_of(len(a))) & set(bands.bands_of(len(b))):
+                one, other = (bands.keys(s, band)[0] for s in (a, b))
+                if not np.isin(one, other).any():
+                    seen += 1
+                    assert np.isin(bands.least(a, band, len(one)), bands.least(b, band, len(other))).any()
+    assert seen
