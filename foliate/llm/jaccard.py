@@ -604,9 +604,30 @@ def near_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
 
 
 def near_filter(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id, all columns as they are; of several rows of
-    the smallest id, all stay."""
-    gone = cut(near_classes(docs, words, num, den).filter("component_id < doc_id").select(F.col("doc_id").alias("gone_")).distinct())
+    """The rows of docs that no other stands for, all columns as they are: one of each component, of its smallest doc_id
+    (a null id is larger than any), and all rows without words.
+
+    Rows whose id is null or repeated get a key of their own, and are kept by that; all others by their id.
+    """
+    rows, joined = near_sets(docs.select("doc_id", "text"), words, num, den)
+    first = lambda *columns: F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *columns)).alias("keep")
+    least = rows.filter("sid is not null").groupBy("sid").agg(first()).select("sid", "keep.doc_id")
+    least = least.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    roots = least.groupBy("root").agg(first("sid")).select("root", F.col("keep.doc_id").alias("keep_id"), F.col("keep.sid").alias("keep_sid"))
+    classes = cut(least.join(roots, "root").select("sid", "keep_id", "keep_sid"))
+    twice = cut(rows.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 or doc_id is null").select("doc_id"))
+    gone = rows.join(classes, "sid").filter("doc_id <> keep_id").select("doc_id").unionByName(twice)
+    gone = cut(gone.filter("doc_id is not null").select(F.col("doc_id").alias("gone_")).distinct())
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == F.col("gone_"), "left_anti")
+    kept = docs.join(gone, docs["doc_id"] == F.col("gone_"), "left_anti")
+    if twice.isEmpty():
+        return kept
+    key = max(docs.columns, key=len) + "_"
+    part = docs.join(twice.select(F.col("doc_id").alias("twice_")), docs["doc_id"].eqNullSafe(F.col("twice_")), "left_semi")
+    part = cut(part.withColumn(key, F.monotonically_increasing_id()))
+    sets = set_rows(part.select(F.col(key).alias("doc_id"), "text"), words).select(F.col("doc_id").alias("key_"), "sid")
+    sets = cut(sets.join(part.select(F.col(key).alias("key_"), F.col("doc_id").cast("long").alias("doc_id")), "key_"))
+    one = sets.join(classes, "sid").filter("sid = keep_sid and doc_id <=> keep_id").groupBy("sid").agg(F.min("key_").alias("key_")).select("key_")
+    stay = cut(one.unionByName(sets.filter("sid is null").select("key_")))
+    return kept.filter(docs["doc_id"].isNotNull()).union(part.join(stay, part[key] == F.col("key_"), "left_semi").drop(key))

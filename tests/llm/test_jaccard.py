@@ -128,3 +128,11 @@ def test_sets_in_few_segments_share_a_key():
                     seen += 1
                     assert np.isin(bands.least(a, band, len(one)), bands.least(b, band, len(other))).any()
     assert seen
+
+
+def test_filter_of_repeated_and_null_ids(spark):
+    same, other, null = "a b c d e f", "p q r s t u", "n u l l i d"
+    rows = [(1, same, 1), (1, same, 2), (2, same, 3), (2, other, 4), (None, same, 5), (None, null, 6), (None, null, 7), (None, "", 8), (None, "", 9), (3, "x", 10), (4, other, 11), (5, None, 12), (5, None, 13)]
+    kept = [tuple(r) for r in near_filter(spark.createDataFrame(rows, "doc_id long, text string, sid int")).collect()]
+    assert sorted(str(r[:2]) for r in kept) == sorted(map(str, [(1, same), (2, other), (None, null), (None, ""), (None, ""), (3, "x"), (5, None), (5, None)]))
+    assert set(kept) <= set(rows) and len(set(kept)) == len(kept)
