@@ -3,7 +3,7 @@
 Voters are lexicons and patterns that fire or don't. Their vote patterns are counted over all documents that may be
 learnt from, at most 2**len(VOTERS) counts. The label model has an accuracy and a propensity for each voter and a
 correlation for pairs that agree more than the label explains; its partition function is summed exactly over all vote
-patterns. The classifier is fitted to the posterior of a bounded sample of labelled rows.
+patterns. The classifier is fitted to the posterior of a bounded sample of labelled rows; lexicons are mined from all of them.
 """
 
 from __future__ import annotations
@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 
 from foliate.llm.shared import about, cut, rows_of
 
-#: Labelled rows, about so many by their hash, that lexicons and classifier are fitted on.
+#: Labelled rows, about so many by their hash, that the classifier is fitted on; lexicons and counts come from all.
 LABELLED_ROWS = 20_000
 
+#: Up to so many labels go to every executor; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
 #: Tokens that the lexicons may hold, those with most evidence.
 LEXICON_TOKENS = 4_000
 
@@ -34,6 +37,9 @@ CLASSIFIER_TOKENS = 400
 #: A token needs so many labelled positive documents to enter a lexicon.
 LEAST_DOCS = 4
 
+#: Tokens that a task counts before it hands on what it has.
+COUNTED = 400_000
+
 THRESHOLD = 0.3
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -185,15 +191,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = LABELLED_
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").filter(learn & F.col("doc_id").isNotNull())
-    sample = labels.select("doc_id", "toxic").filter(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = cut(sample)
-    sample = sample.filter(about(F.col("doc_id"), rows, sample.count()))  # about `rows` pairs of numbers, so it may be broadcast
-    sample = cut(docs.join(F.broadcast(sample), "doc_id").select("text", "toxic"))
-
-    lexicons = _mine(sample)
+    labels = labels.select("doc_id", "toxic").filter(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    labels = cut(labels)
+    total = labels.count()
+    sent = F.broadcast(labels) if total <= BROADCAST_ROWS else labels
+    every = docs.join(sent, "doc_id")
+    sample = cut(every.filter(about(F.col("doc_id"), rows, total)).select("text", "toxic"))
+
+    lexicons = _mine(every.select("text", "toxic"))
     spread = spark.sparkContext.broadcast(lexicons)
-    counts = {r.votes: r.n for r in _vote_counts(docs.select("text"), spread).collect()}  # at most 2**len(VOTERS) rows
-    labelled = {(r.votes, r.toxic): r.n for r in _vote_counts(sample, spread, "toxic").collect()}
+    voted = _vote_counts(docs.join(sent, "doc_id", "left").select("text", "toxic"), spread, "toxic").collect()  # at most 3 * 2**len(VOTERS) rows
+    counts, labelled = Counter(), {(r.votes, r.toxic): r.n for r in voted if r.toxic is not None}
+    for r in voted:
+        counts[r.votes] += r.n
     if len({y for _, y in labelled}) < 2:
         return ToxicityModel(lexicons, None, [], np.zeros(0))
     label_model = fit_label_model(counts, labelled)
@@ -203,18 +213,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = LABELLED_
     return model
 
 
-def _mine(sample: DataFrame) -> Lexicons:
+def _mine(labelled: DataFrame) -> Lexicons:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[Counter] = [Counter(), Counter()]
         totals = [0, 0]
-        for batch in batches:
+
+        def made() -> pa.RecordBatch:
+            rows = [("", totals[1], totals[0]), *((t, n, counts[0][t]) for t, n in counts[1].items()), *((t, 0, n) for t, n in counts[0].items() if t not in counts[1])]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["token", "pos", "neg"])
+
+        for batch in rows_of(batches, 1000, "text"):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 counts[toxic > 0].update(tokens_of(text))
                 totals[toxic > 0] += 1
-        rows = [("", totals[1], totals[0]), *((t, n, counts[0][t]) for t, n in counts[1].items()), *((t, 0, n) for t, n in counts[0].items() if t not in counts[1])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["token", "pos", "neg"])
+            if len(counts[0]) + len(counts[1]) > COUNTED:
+                yield made()
+                counts, totals = [Counter(), Counter()], [0, 0]
+        yield made()
 
-    summed = cut(sample.mapInArrow(run, "token string, pos long, neg long").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    summed = cut(labelled.mapInArrow(run, "token string, pos long, neg long").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     total = summed.filter("token = ''").first()
     if total is None or not total.pos or not total.neg:
         return Lexicons()

@@ -95,6 +95,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in made)
 
 
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_lexicons_come_from_all_labelled_rows(spark, monkeypatch, sent):
+    monkeypatch.setattr(X, "BROADCAST_ROWS", sent, raising=False)
+    docs, labels = toxic_corpus(spark)
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 40 == 0, F.concat("text", F.lit(" zzgrunk"))).otherwise(F.col("text")))
+    model = X.fit(docs, labels, F.lit(True), 100)
+    assert "zzgrunk" in model.lexicons.ranked
+
+
 def test_toxicity_without_anything_to_learn(spark):
     docs, labels = toxic_corpus(spark, 20)
     for none in (labels.limit(0), labels.filter("toxic = 0")):
