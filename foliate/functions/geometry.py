@@ -74,3 +74,18 @@ def splits(height: Column, most: int = 4000, part: int = 3200, overlap: int = 20
     last = F.when(height > most, F.greatest(F.lit(0), F.ceil((height - part) / F.lit(step)))).otherwise(F.lit(0)).cast("int")
     piece = lambda k: F.struct(k.alias("split_index"), (k * step).alias("y1"), F.when(height > most, F.least(k * step + part, height)).otherwise(height).cast("int").alias("y2"))
     return F.transform(F.sequence(F.lit(0), last), piece)
+
+
+def downsampled(size: Column, ratio: float = 0.7) -> Column:
+    """A picture's width or height after scaling down, cut towards zero; ratios of 1 or more change nothing."""
+    return (size * F.lit(float(ratio))).cast("int") if ratio < 1 else size
+
+
+def known_size(size: Column, default: int) -> Column:
+    """A width or height, or the default where it is missing or 0."""
+    return F.coalesce(F.nullif(size, F.lit(0)), F.lit(default))
+
+
+def covered_share(boxes: Column, page_area: float) -> Column:
+    """The share of a page that boxes cover, each counted whole; an aggregate. 0 for pages without an area."""
+    return F.sum(area(boxes)) / F.lit(float(page_area)) if page_area > 0 else F.lit(0.0)

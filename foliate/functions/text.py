@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: All Unicode white space, as str.strip() and str.split() know it; Spark's trim() removes blanks alone.
 WS = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
+#: The same characters, for functions that trim.
+BLANKS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 INVALID = r"[\p{Cc}\p{Cf}\p{Co}\p{Cn}&&[^\n\r\t ]]"
 UNASSIGNED = r"[\p{Co}\p{Cn}]"
 
@@ -16,15 +19,15 @@ CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}\
 
 
 def strip(t: Column) -> Column:
-    return F.regexp_replace(t, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(t, F.lit(BLANKS))
 
 
 def lstrip(t: Column) -> Column:
-    return F.regexp_replace(t, f"^[{WS}]+", "")
+    return F.ltrim(t, F.lit(BLANKS))
 
 
 def rstrip(t: Column) -> Column:
-    return F.regexp_replace(t, f"[{WS}]+$", "")
+    return F.rtrim(t, F.lit(BLANKS))
 
 
 def share(t: Column, pattern: str) -> Column:
@@ -42,10 +45,27 @@ def cjk_ratio(t: Column) -> Column:
 
 
 def coherence(t: Column) -> Column:
-    """Runs of letters, digits and underscores for each token between white space, 1 at most."""
-    words = F.regexp_count(t, F.lit(r"[\p{L}\p{N}_]+"))
-    tokens = F.greatest(F.regexp_count(t, F.lit(f"[^{WS}]+")), F.lit(1))
-    return F.least(words / tokens, F.lit(1.0))
+    """Runs of letters, digits and underscores for each token between white space, 1 at most.
+
+    Each run becomes one letter, then each token: no list of matches is made, and the second pass is over a short text.
+    """
+    marked = F.regexp_replace(t, r"[\p{L}\p{N}_]+", "a")
+    tokens = F.greatest(_letters(F.regexp_replace(marked, f"[^{WS}]+", "a")), F.lit(1))
+    return F.least(_letters(marked) / tokens, F.lit(1.0))
+
+
+def _letters(t: Column) -> Column:
+    return F.length(t) - F.length(F.translate(t, "a", ""))
+
+
+def text_md5(t: Column) -> Column:
+    """MD5 of a text's UTF-8 bytes, or of binary data, in hexadecimal digits."""
+    return F.md5(t.cast("binary"))
+
+
+def base64_line(t: Column) -> Column:
+    """Base64 of a text's UTF-8 bytes, or of binary data, without line ends."""
+    return F.regexp_replace(F.base64(t.cast("binary")), "[\r\n]", "")
 
 
 def font_count(fonts: Column) -> Column:

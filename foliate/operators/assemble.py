@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliate.functions.markdown import block_markdown, title_level
@@ -29,6 +29,16 @@ def title_levels(blocks: DataFrame, strategy: str = "auto") -> DataFrame:
     return titles.join(spans, "doc_id").withColumn("level", title_level(height, F.col("least_"), F.col("most_"), strategy)).drop("least_", "most_")
 
 
+def page_before(body: str, i: Column) -> Column:
+    """The page of the block before the one at i in an array of blocks; 0 before the first."""
+    return F.when(i > 0, F.get(body, i - 1)["page_number"]).otherwise(F.lit(0))
+
+
+def joined_references(refs: str, between: str) -> Column:
+    """The contents of an ordered array of reference blocks as one text."""
+    return F.array_join(F.transform(refs, lambda r: r["content"]), between)
+
+
 def assemble(blocks: DataFrame, config: MarkdownConfig = MarkdownConfig()) -> DataFrame:
     """doc_id and markdown of each document of blocks (doc_id, page_number, reading_order, seq, block_type, bbox, content,
     image_path): by page and order, ties by seq; page and source markers; references at the end.
@@ -43,7 +53,7 @@ def assemble(blocks: DataFrame, config: MarkdownConfig = MarkdownConfig()) -> Da
     docs = docs.withColumns({"body": body, "refs": F.filter("b", lambda x: x["block_type"] == "reference")})
 
     def piece(x, i):
-        before = F.when(i > 0, F.get("body", i - 1)["page_number"]).otherwise(F.lit(0))
+        before = page_before("body", i)
         turned = x["page_number"] != before
         marker = F.concat(F.lit("<!-- Page "), x["page_number"].cast("string"), F.lit(" -->\n\n")) if config.include_page_markers else F.lit("")
         page = F.when(turned, F.concat(F.when(before > 0, F.lit(config.page_separator)).otherwise(F.lit("")), marker)).otherwise(F.lit(""))
@@ -52,5 +62,5 @@ def assemble(blocks: DataFrame, config: MarkdownConfig = MarkdownConfig()) -> Da
         return F.concat(page, F.when(md == "", F.lit("")).otherwise(F.concat(source, md, F.lit("\n\n"))))
 
     text = F.array_join(F.transform("body", piece), "")
-    refs = F.when(F.size("refs") > 0, F.concat(F.lit("\n\n## References\n\n"), F.array_join(F.transform("refs", lambda r: F.concat(r["content"], F.lit("\n\n"))), ""))).otherwise(F.lit(""))
+    refs = F.when(F.size("refs") > 0, F.concat(F.lit("\n\n## References\n\n"), joined_references("refs", "\n\n"), F.lit("\n\n"))).otherwise(F.lit(""))
     return docs.select("doc_id", F.concat(rstrip(F.concat(text, refs)), F.lit("\n")).alias("markdown"))

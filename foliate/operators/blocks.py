@@ -61,8 +61,13 @@ def fallback_regions(spans: DataFrame, lines: DataFrame, garbled: float = 0.05,
     boxes on a page the first reason stays. spans: pos, font, bbox (of the block); lines: pos, text, bbox."""
     formula = spans.filter(has_formula_font(F.array("font"), patterns)).select(*PAGE, F.lit(0).alias("kind"), "pos", "bbox", F.lit("formula").alias("reason"))
     broken = lines.filter(share(F.col("text"), UNASSIGNED) > garbled).select(*PAGE, F.lit(1).alias("kind"), "pos", "bbox", F.lit("garbled_text").alias("reason"))
-    first = F.row_number().over(Window.partitionBy(*PAGE, "bbox").orderBy("kind", "pos"))
-    return formula.unionByName(broken).withColumn("n_", first).filter("n_ = 1").drop("n_", "kind")
+    return first_reasons(formula.unionByName(broken).withColumn("order_", F.struct("kind", "pos")), *PAGE, "bbox").drop("kind")
+
+
+def first_reasons(regions: DataFrame, *keys: str) -> DataFrame:
+    """Of regions (order_, ...) that agree in keys the first one by order_."""
+    rest = [c for c in regions.columns if c not in (*keys, "order_")]
+    return regions.groupBy(*keys).agg(F.min_by(F.struct(*rest), "order_").alias("first_")).select(*keys, *(F.col(f"first_.{c}").alias(c) for c in rest))
 
 
 def fallback_blocks(answered: DataFrame) -> DataFrame:

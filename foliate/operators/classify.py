@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliate.functions import text as T
+from foliate.functions.geometry import covered_share
 
 
 @dataclass(frozen=True)
@@ -28,8 +29,31 @@ def percent(value: Column, places: int) -> Column:
     return F.concat((scaled / 10**places).cast("long").cast("string"), F.lit("."), F.lpad((scaled % 10**places).cast("string"), places, "0"), F.lit("%"))
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """pages over all cores, where a scan has fewer parts than that (a few small files): costly columns follow. Streams, and
+    plans that shuffle anyway, stay as they are; large inputs have parts enough and don't move."""
+    if pages.isStreaming:
+        return pages
+    planned = pages._jdf.queryExecution()
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if planned.executedPlan().nodeName().startswith("Adaptive") or planned.toRdd().getNumPartitions() >= cores:
+        return pages
+    return pages.repartition(cores)
+
+
+def image_ratio(regions: DataFrame, page_area: float, *keys: str) -> DataFrame:
+    """has_images and image_ratio of each page that has pictures among its regions (block_type, bbox)."""
+    return regions.filter("block_type = 'image'").groupBy(*keys).agg((F.count("*") > 0).alias("has_images"), covered_share(F.col("bbox"), page_area).alias("image_ratio"))
+
+
+def text_coverage(regions: DataFrame, page_area: float, *keys: str) -> DataFrame:
+    """The share of each page that its text regions cover."""
+    return regions.filter("block_type = 'text'").groupBy(*keys).agg(covered_share(F.col("bbox"), page_area).alias("coverage"))
+
+
 def text_metrics(pages: DataFrame) -> DataFrame:
-    """pages (text, spans, ...) with the features of their text layer; one pass, no shuffle."""
+    """pages (text, spans, ...) with the features of their text layer; one pass, and no shuffle of large inputs."""
+    pages = spread(pages)
     named = F.filter("spans", lambda s: F.length(s["text"]) > 0)
     widths = F.transform(named, lambda s: (s["x2"] - s["x1"]) / F.length(s["text"]))
     made = pages.withColumns({
@@ -39,6 +63,7 @@ def text_metrics(pages: DataFrame) -> DataFrame:
     return made.withColumn("quality_score", T.quality_score(F.col("invalid_ratio"), F.col("font_count"), F.col("width_variance"), F.col("coherence")))
 
 
+#: The wording of reasons is fixed: a page's reason is part of the result.
 def classify(pages: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
     """text_metrics with page_type, reason and has_formula; the first rule that fits decides."""
     made = text_metrics(pages).withColumn("has_formula", T.has_formula_font(F.transform("spans", lambda s: s["font"]), config.formula_font_patterns))

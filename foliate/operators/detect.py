@@ -41,7 +41,8 @@ def detector(name: str) -> Callable[[], Detector]:
 def detect(pages: DataFrame, make: Callable[[], Detector]) -> DataFrame:
     """Layout rows of page pictures (doc_id, page_number, width, height, image if there is one), one detector a task.
 
-    Pictures go to the plug-in and no further: the result holds boxes alone.
+    Pictures go to the plug-in and no further: the result holds boxes alone. A page that the detector fails on becomes one
+    text region of confidence 1, so that a model still reads all of it, and no other page is lost.
     """
     from foliate.schema import BLOCK_TYPES
 
@@ -53,7 +54,11 @@ def detect(pages: DataFrame, make: Callable[[], Detector]) -> DataFrame:
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
-                for pos, (kind, box, confidence) in enumerate(found.detect(r.image if image else None, int(r.width), int(r.height))):
+                try:
+                    regions = found.detect(r.image if image else None, int(r.width), int(r.height))
+                except Exception:  # noqa: BLE001
+                    regions = [(BLOCK_TYPES.index("text"), (0, 0, int(r.width), int(r.height)), 1.0)]
+                for pos, (kind, box, confidence) in enumerate(regions):
                     name = BLOCK_TYPES[kind] if 0 <= kind < len(BLOCK_TYPES) else "text"
                     rows.append([r.doc_id, r.page_number, pos, name, dict(zip(("x1", "y1", "x2", "y2"), box, strict=True)), float(confidence), 0, None])
             yield pd.DataFrame(rows, columns=names, dtype=object)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions.geometry import area, padded
+from foliate.functions.text import strip
 from foliate.operators.layout import PAGE
 
 
@@ -58,6 +59,20 @@ def listing(manifest: DataFrame) -> DataFrame:
     return manifest.filter(kinds).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("filename", "width", "height"))).alias("images"))
 
 
+def described(pictures: DataFrame, make, **call) -> DataFrame:
+    """alt_texts with the texts of pictures that need a model: its answer, stripped, or the page reference if it fails.
+
+    pictures: the rows of alt_texts, with image (the page's picture) if there is one; call: what recognize() takes.
+    """
+    from foliate.operators.dispatch import prompt
+    from foliate.operators.recognize import recognize
+
+    asked = recognize(pictures.filter("needs_model").withColumn("prompt", prompt(F.lit("image"), F.col("bbox"))), make, **call)
+    other = F.concat(F.lit("Page "), F.col("page_number").cast("string"), F.lit(", Figure"))
+    answered = asked.withColumn("alt_text", F.coalesce(F.nullif(strip(F.col("reply")), F.lit("")), other)).drop("prompt", "reply", "error", "attempts")
+    return pictures.filter("not needs_model").unionByName(answered)
+
+
 def alt_texts(blocks: DataFrame, page_area: float, near: int = 50, large: float = 0.1) -> DataFrame:
     """Pictures with alt_text and needs_model: "caption" if the page has a caption close above or below, a model's work
     if the picture is large, else a page reference."""

@@ -120,11 +120,24 @@ def reading_order(blocks: DataFrame, mode: str = "column") -> DataFrame:
     return blocks.withColumn("reading_order", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*keys, "pos")) - 1)
 
 
-def clean_layout(blocks: DataFrame, config: LayoutConfig = LayoutConfig(), width: Column | int = 600) -> DataFrame:
-    """Raw detections (doc_id, page_number, pos, block_type, bbox, confidence) to ordered regions."""
+def clean_layout(blocks: DataFrame, config: LayoutConfig = LayoutConfig(), width: DataFrame | int = 600) -> DataFrame:
+    """Raw detections (doc_id, page_number, pos, block_type, bbox, confidence) to ordered regions.
+
+    width: that of all pages, or a table of pages (doc_id, page_number, width); where it has none, 600 holds.
+    """
     kept = suppress(confident(blocks, config).select(*PAGE, "pos", "bbox", "block_type", "confidence"), config)
     # From here on the list is in order of confidence.
     kept = kept.withColumn("pos", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("confidence"), "pos")) - 1)
-    kept = assign_columns(kept, width) if config.detect_columns else kept.withColumn("column_id", F.lit(None).cast("int"))
+    if not config.detect_columns:
+        kept = kept.withColumn("column_id", F.lit(None).cast("int"))
+    elif isinstance(width, DataFrame):
+        kept = kept.join(width.select(*PAGE, F.col("width").alias("width_")), list(PAGE), "left")
+        kept = assign_columns(kept.fillna(600, ["width_"]), F.col("width_")).drop("width_")
+    else:
+        kept = assign_columns(kept, width)
     kept = merge_text(kept, config) if config.merge_adjacent_text else kept
     return reading_order(kept) if config.detect_reading_order else kept.withColumn("reading_order", F.lit(0))
+
+
+def blocks_per_page(blocks: DataFrame, *keys: str) -> DataFrame:
+    return blocks.groupBy(*(keys or PAGE)).agg(F.count("*").alias("blocks"))

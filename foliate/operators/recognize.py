@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import base64
+import json
+import queue
+import threading
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions.geometry import area, unscale
@@ -39,11 +45,70 @@ def backend(name: str) -> Recognizer:
     return BACKENDS[name]()
 
 
-def recognize(requests: DataFrame, make: Callable[[], Recognizer], retries: int = 3, wait: float = 1.0) -> DataFrame:
+class ChatRecognizer:
+    """A model behind a chat-completions endpoint, one request for each prompt and picture.
+
+    open_url takes a request and a timeout and gives a stream with the answer, as urllib's does.
+    """
+
+    def __init__(self, base_url: str, api_key: str, model: str, temperature: float = 0.1, timeout: float = 60, open_url: Callable | None = None):
+        self.url, self.api_key, self.model = base_url.rstrip("/") + "/chat/completions", api_key, model
+        self.temperature, self.timeout, self.open_url = temperature, timeout, open_url or urllib.request.urlopen
+
+    def body(self, prompt: str, images: list[bytes]) -> dict:
+        pictures = [{"type": "image_url", "image_url": {"url": "data:image/png;base64," + base64.b64encode(i).decode()}} for i in images]
+        return {"model": self.model, "temperature": self.temperature, "messages": [{"role": "user", "content": [*pictures, {"type": "text", "text": prompt}]}]}
+
+    def reply(self, prompt: str, image: bytes | None) -> str:
+        return self.reply_to_many(prompt, [] if image is None else [image])
+
+    def reply_to_many(self, prompt: str, images: list[bytes]) -> str:
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.api_key}"}
+        request = urllib.request.Request(self.url, json.dumps(self.body(prompt, images)).encode(), headers)
+        with self.open_url(request, timeout=self.timeout) as answer:
+            return json.loads(answer.read())["choices"][0]["message"]["content"]
+
+
+def within(seconds: float | None, call: Callable, *args):
+    """call(*args), or TimeoutError if it takes longer; what hangs is left behind in a thread that ends with the worker."""
+    if seconds is None:
+        return call(*args)
+    made: queue.Queue = queue.Queue(1)
+
+    def run() -> None:
+        try:
+            made.put((call(*args), None))
+        except Exception as problem:  # noqa: BLE001
+            made.put((None, problem))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        value, problem = made.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds} s") from None
+    if problem:
+        raise problem
+    return value
+
+
+def tried(call: Callable, *args, retries: int = 3, wait: float = 1.0, timeout: float | None = None) -> tuple:
+    """(value, None, attempts) or (None, error, attempts) of a call that is tried again after wait, 2 wait, 4 wait .. seconds."""
+    for attempt in range(retries + 1):
+        try:
+            return within(timeout, call, *args), None, attempt + 1
+        except Exception as problem:  # noqa: BLE001
+            error = str(problem) or type(problem).__name__
+            if attempt < retries:
+                time.sleep(wait * 2**attempt)
+    return None, error, retries + 1
+
+
+def recognize(requests: DataFrame, make: Callable[[], Recognizer], retries: int = 3, wait: float = 1.0, concurrent: int = 1, timeout: float | None = None) -> DataFrame:
     """requests (prompt, image if there is one) with reply, error and attempts.
 
-    A failed call is tried again after wait, 2 wait, 4 wait .. seconds; then the error stands in the row and no
-    exception leaves the task. Partitions are the concurrency. Materialise the result before using it twice.
+    A failed or late call is tried again after wait, 2 wait, 4 wait .. seconds; then the error stands in the row and no
+    exception leaves the task. A task has up to `concurrent` calls under way at a time, so tasks times that is the load on a
+    service. Materialise the result before using it twice.
     """
     image = "image" in requests.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes) + ", reply string, error string, attempts int"
@@ -52,17 +117,11 @@ def recognize(requests: DataFrame, make: Callable[[], Recognizer], retries: int
         model = make()
 
         def ask(prompt: str, picture: bytes | None) -> tuple[str | None, str | None, int]:
-            for attempt in range(retries + 1):
-                try:
-                    return model.reply(prompt, picture), None, attempt + 1
-                except Exception as problem:  # noqa: BLE001
-                    error = str(problem)
-                    if attempt < retries:
-                        time.sleep(wait * 2**attempt)
-            return None, error, retries + 1
+            return tried(model.reply, prompt, picture, retries=retries, wait=wait, timeout=timeout)
 
         for frame in frames:
-            made = [ask(p, i) for p, i in zip(frame["prompt"], frame["image"] if image else [None] * len(frame), strict=True)]
+            with ThreadPoolExecutor(concurrent) as pool:
+                made = list(pool.map(ask, frame["prompt"], frame["image"] if image else [None] * len(frame)))
             yield frame.assign(reply=[m[0] for m in made], error=[m[1] for m in made], attempts=[m[2] for m in made])
 
     return requests.mapInPandas(run, schema)
@@ -107,6 +166,14 @@ def counters(answered: DataFrame, *keys: str) -> DataFrame:
     return made.select(*keys, "api_calls", F.transform("e", lambda e: F.concat(F.lit("page "), e["page_number"].cast("string"), F.lit(": "), e["error"])).alias("errors"))
 
 
+def first_errors(answered: DataFrame, *keys: str, most: int = 5) -> DataFrame:
+    """The first errors of each group in order of page and request, as a report shows them; only `most` are gathered."""
+    order = Window.partitionBy(*keys).orderBy("page_number", "request_id", "doc_id")
+    rows = answered.filter(F.col("error").isNotNull()).withColumn("k_", F.row_number().over(order)).filter(F.col("k_") <= most)
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k_", "page_number", "error"))).alias("e"))
+    return listed.select(*keys, F.transform("e", lambda e: F.concat(F.lit("page "), e["page_number"].cast("string"), F.lit(": "), e["error"])).alias("errors"))
+
+
 def validate(rows: DataFrame) -> DataFrame:
     """rows (block_type, bbox, content) with validation_warning and validation_passed: not empty, one warning at most."""
     empty = strip(F.col("content")) == ""

@@ -51,7 +51,7 @@ def gap_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each document, with damaged or ideographic characters in some, spans, fonts and an image share."""
     d = F.col("doc_id")
-    damaged = F.concat(F.substring("text", 1, 30), F.repeat(F.lit("\x01"), (d % 5).cast("int")), F.lit("\ue000\u200b"))
+    damaged = F.concat("text", F.repeat(F.lit("\x01"), (d % 5 * 2 * F.floor(F.length("text") / 100)).cast("int")), F.lit("\ue000\u200b"))
     text = F.when(d % 7 == 0, damaged).when(d % 11 == 0, F.concat("text", F.lit("漢字文"))).otherwise(F.col("text"))
     font = F.when(d % 13 == 0, "CMMI10").otherwise("Arial")
 
@@ -99,16 +99,17 @@ def cell_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of up to five regions with a model's reply: some tags missing, doubled, or behind a preamble; some fail."""
-    part = lines(spark, sf_dir).filter("ln < 5")
+    """Requests of five regions each, of all lines, with a model's reply: some tags missing, doubled, or behind a preamble;
+    some fail."""
+    part = lines(spark, sf_dir).select("doc_id", F.floor(F.col("ln") / 5).cast("int").alias("request_id"), (F.col("ln") % 5).alias("ln"), "line")
     region = F.struct((F.col("ln") + 1).cast("int").alias("region_num"), box(F.col("ln") * 10, F.col("ln") * 20, F.col("ln") * 10 + 70, F.col("ln") * 20 + 35).alias("bbox"), _type(F.col("ln")).alias("block_type"))
     tag = F.concat(F.lit("[REGION_"), (F.col("ln") + 1).cast("string"), F.lit("]\n"))
     text = F.when((F.col("doc_id") % 5 == 0) & (F.col("ln") == 1), "").otherwise(F.concat(tag, F.col("line"), F.lit("\n")))
     text = F.concat(text, F.when((F.col("doc_id") % 6 == 0) & (F.col("ln") == 0), F.concat(F.lit("[REGION_1]\n again "), F.col("line"), F.lit(" \n"))).otherwise(""))
-    made = part.groupBy("doc_id").agg(F.array_sort(F.collect_list(region)).alias("regions"), F.transform(F.array_sort(F.collect_list(F.struct("ln", text.alias("t")))), lambda x: x["t"]).alias("t"))
+    made = part.groupBy("doc_id", "request_id").agg(F.array_sort(F.collect_list(region)).alias("regions"), F.transform(F.array_sort(F.collect_list(F.struct("ln", text.alias("t")))), lambda x: x["t"]).alias("t"))
     reply = F.concat(F.when(F.col("doc_id") % 4 == 0, "Here it is:\n").otherwise(""), F.array_join("t", ""))
-    failed = F.col("doc_id") % 8 == 3
-    return made.select("doc_id", (F.col("doc_id") % 3 + 1).cast("int").alias("page_number"), F.lit(0).alias("request_id"), "regions", F.lit(0.7).alias("downsample_ratio"), F.when(~failed, reply).alias("reply"), F.when(failed, "timeout").alias("error"))
+    failed = (F.col("doc_id") + F.col("request_id")) % 8 == 3
+    return made.select("doc_id", (F.col("doc_id") % 3 + 1).cast("int").alias("page_number"), "request_id", "regions", F.lit(0.7).alias("downsample_ratio"), F.when(~failed, reply).alias("reply"), F.when(failed, "timeout").alias("error"))
 
 
 def micros(rows: DataFrame, name: str = "ts") -> F.Column:

@@ -16,7 +16,7 @@ boxes AS (
     (50 + (doc_id * 7 + ln * 31) % 50) / CAST(100 AS DOUBLE) AS confidence, line AS content FROM lines)"""
 
 PAGES = """pages AS (
-  SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN left(text, 30) || repeat(chr(1), CAST(doc_id % 5 AS BIGINT)) || chr(57344) || chr(8203)
+  SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || repeat(chr(1), CAST(doc_id % 5 * 2 * (length(text) // 100) AS BIGINT)) || chr(57344) || chr(8203)
       WHEN doc_id % 11 = 0 THEN text || '漢字文' ELSE text END AS text,
     text AS whole, (doc_id % 10) / CAST(20 AS DOUBLE) AS image_ratio, CASE WHEN doc_id % 13 = 0 THEN 'CMMI10' ELSE 'Arial' END AS font FROM documents)"""
 

@@ -19,7 +19,7 @@ from foliate.operators import images as I
 from foliate.operators import layout as L
 from foliate.operators import media as V
 from foliate.operators import recognize as R
-from foliate.operators.assemble import assemble, title_levels
+from foliate.operators.assemble import assemble, joined_references, page_before, title_levels
 from foliate.plans import lifts
 from foliate.plans import oracles as O
 from foliate.plans.convert import convert
@@ -84,8 +84,7 @@ def quality_score(spark, sf):
 
 @query("p07_image_ratio", f"WITH {O.BOXES} SELECT doc_id, count(*) > 0 AS has_images, round(CAST(sum({O.size('boxes')}) AS DOUBLE) / 1400000, 6) AS image_ratio FROM boxes WHERE block_type = 'image' GROUP BY doc_id")
 def image_ratio(spark, sf):
-    pictures = lifts.boxes(spark, sf).filter("block_type = 'image'")
-    return pictures.groupBy("doc_id").agg((F.count("*") > 0).alias("has_images"), to6(F.sum(G.area(F.col("bbox"))) / F.lit(1400000.0)).alias("image_ratio"))
+    return C.image_ratio(lifts.boxes(spark, sf), 1400000.0, "doc_id").withColumn("image_ratio", to6("image_ratio"))
 
 
 @query("p08_formula_font", f"WITH {O.SPANS} SELECT doc_id, bool_or(lower(font) LIKE '%cmmi%') AS has_formula FROM spans GROUP BY doc_id")
@@ -96,7 +95,7 @@ def formula_font(spark, sf):
 
 @query("p09_coverage", f"WITH {O.BOXES} SELECT doc_id, round(CAST(sum({O.size('boxes')}) AS DOUBLE) / 1400000, 6) AS coverage FROM boxes WHERE block_type = 'text' GROUP BY doc_id")
 def coverage(spark, sf):
-    return lifts.boxes(spark, sf).filter("block_type = 'text'").groupBy("doc_id").agg(to6(F.sum(G.area(F.col("bbox"))) / F.lit(1400000.0)).alias("coverage"))
+    return C.text_coverage(lifts.boxes(spark, sf), 1400000.0, "doc_id").withColumn("coverage", to6("coverage"))
 
 
 @query("f01_classify", f"""WITH {O.CLASSIFIED}
@@ -181,7 +180,7 @@ def expand(spark, sf):
 @query("p15_downsample", "SELECT p_partkey, CAST(trunc((p_partkey * 7 % 5000) * CAST(0.7 AS DOUBLE)) AS INTEGER) AS w, CAST(trunc((p_partkey * 11 % 7000) * CAST(0.7 AS DOUBLE)) AS INTEGER) AS h FROM part")
 def downsample(spark, sf):
     p = lifts.table(spark, sf, "part")
-    return p.select("p_partkey", (F.col("p_partkey") * 7 % 5000 * F.lit(0.7)).cast("int").alias("w"), (F.col("p_partkey") * 11 % 7000 * F.lit(0.7)).cast("int").alias("h"))
+    return p.select("p_partkey", G.downsampled(F.col("p_partkey") * 7 % 5000).alias("w"), G.downsampled(F.col("p_partkey") * 11 % 7000).alias("h"))
 
 
 @query("p16_split_page", """WITH sizes AS (SELECT p_partkey, CAST(p_partkey * 37 % 15000 + 1 AS INTEGER) AS h FROM part),
@@ -229,12 +228,12 @@ def class_map(spark, sf):
 @query("p37_size_default", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 640 ELSE p_size END AS width FROM part")
 def size_default(spark, sf):
     given = F.when(F.col("p_size") % 3 == 0, 0).otherwise(F.col("p_size"))
-    return lifts.table(spark, sf, "part").select("p_partkey", F.coalesce(F.nullif(given, F.lit(0)), F.lit(640)).alias("width"))
+    return lifts.table(spark, sf, "part").select("p_partkey", G.known_size(given, 640).alias("width"))
 
 
 @query("p36_base64", "SELECT page_id, md5(base64(encode(html))) AS image_md5 FROM pages")
 def base64(spark, sf):
-    return lifts.table(spark, sf, "pages").select("page_id", F.md5(F.regexp_replace(F.base64(F.col("html").cast("binary")), "[\r\n]", "").cast("binary")).alias("image_md5"))
+    return lifts.table(spark, sf, "pages").select("page_id", T.text_md5(T.base64_line(F.col("html"))).alias("image_md5"))
 
 
 # Layout ---------------------------------------------------------------------------------------------------------------
@@ -321,7 +320,7 @@ def clean_layout(spark, sf):
 
 @query("a02_blocks_per_page", f"WITH {O.BOXES} SELECT doc_id, count(*) AS blocks FROM boxes GROUP BY doc_id")
 def blocks_per_page(spark, sf):
-    return lifts.boxes(spark, sf).groupBy("doc_id").agg(F.count("*").alias("blocks"))
+    return L.blocks_per_page(lifts.boxes(spark, sf), "doc_id")
 
 
 # Dispatch -------------------------------------------------------------------------------------------------------------
@@ -375,34 +374,40 @@ def batch_prompt(spark, sf):
 # Recognition ----------------------------------------------------------------------------------------------------------
 
 REPLIES = f"""{O.LINES}, part AS (
-  SELECT *, CASE WHEN doc_id % 5 = 0 AND ln = 1 THEN '' ELSE '[REGION_' || (ln + 1) || ']' || chr(10) || line || chr(10) END || CASE WHEN doc_id % 6 = 0 AND ln = 0 THEN '[REGION_1]' || chr(10) || ' again ' || line || ' ' || chr(10) ELSE '' END AS t
-  FROM lines WHERE ln < 5),
-reply AS (SELECT doc_id, count(*) AS n, CASE WHEN doc_id % 8 = 3 THEN '' ELSE CASE WHEN doc_id % 4 = 0 THEN 'Here it is:' || chr(10) ELSE '' END || string_agg(t, '' ORDER BY ln) END AS reply FROM part GROUP BY doc_id),
-cut AS (SELECT doc_id, reply, n, regexp_extract_all(reply, '\\[REGION_(\\d+)\\]', 1) AS tags, list_slice(regexp_split_to_array(reply, '\\[REGION_\\d+\\]'), 2, 99) AS texts FROM reply),
-flat AS (SELECT doc_id, unnest(tags) AS tag, unnest(texts) AS txt, generate_subscripts(tags, 1) AS k FROM cut),
-last AS (SELECT doc_id, CAST(tag AS INTEGER) AS region_num, arg_max({O.strip('txt')}, k) AS txt FROM flat GROUP BY 1, 2),
+  SELECT doc_id, whole // 5 AS rid, whole % 5 AS ln, line, CASE WHEN doc_id % 5 = 0 AND whole % 5 = 1 THEN '' ELSE '[REGION_' || (whole % 5 + 1) || ']' || chr(10) || line || chr(10) END || CASE WHEN doc_id % 6 = 0 AND whole % 5 = 0 THEN '[REGION_1]' || chr(10) || ' again ' || line || ' ' || chr(10) ELSE '' END AS t
+  FROM (SELECT doc_id, ln AS whole, line FROM lines)),
+reply AS (SELECT doc_id, rid, count(*) AS n, CASE WHEN (doc_id + rid) % 8 = 3 THEN '' ELSE CASE WHEN doc_id % 4 = 0 THEN 'Here it is:' || chr(10) ELSE '' END || string_agg(t, '' ORDER BY ln) END AS reply FROM part GROUP BY doc_id, rid),
+cut AS (SELECT doc_id, rid, reply, n, regexp_extract_all(reply, '\\[REGION_(\\d+)\\]', 1) AS tags, list_slice(regexp_split_to_array(reply, '\\[REGION_\\d+\\]'), 2, 99) AS texts FROM reply),
+flat AS (SELECT doc_id, rid, unnest(tags) AS tag, unnest(texts) AS txt, generate_subscripts(tags, 1) AS k FROM cut),
+last AS (SELECT doc_id, rid, CAST(tag AS INTEGER) AS region_num, arg_max({O.strip('txt')}, k) AS txt FROM flat GROUP BY 1, 2, 3),
 parsed AS (
-  SELECT part.doc_id, CAST(part.ln + 1 AS INTEGER) AS region_num, {O.TYPES}[part.ln + 1] AS block_type, part.ln,
+  SELECT part.doc_id, CAST(part.rid AS INTEGER) AS request_id, CAST(part.ln + 1 AS INTEGER) AS region_num, {O.TYPES}[part.ln + 1] AS block_type, part.ln,
     CASE WHEN coalesce(last.txt, '') = '' AND r.n = 1 THEN {O.strip('r.reply')} ELSE coalesce(last.txt, '') END AS content
-  FROM part JOIN reply r USING (doc_id) LEFT JOIN last ON last.doc_id = part.doc_id AND last.region_num = part.ln + 1)"""
+  FROM part JOIN reply r USING (doc_id, rid) LEFT JOIN last ON last.doc_id = part.doc_id AND last.rid = part.rid AND last.region_num = part.ln + 1)"""
 
 
-@query("m06_parse_batch", f"WITH {REPLIES} SELECT doc_id, region_num, content, CASE block_type WHEN 'table' THEN 'markdown_table' WHEN 'formula' THEN 'latex' ELSE 'text' END AS content_type FROM parsed")
+@query("m06_parse_batch", f"WITH {REPLIES} SELECT doc_id, request_id, region_num, content, CASE block_type WHEN 'table' THEN 'markdown_table' WHEN 'formula' THEN 'latex' ELSE 'text' END AS content_type FROM parsed")
 def parse_batch(spark, sf):
-    return R.parse_replies(lifts.replies(spark, sf)).select("doc_id", "region_num", "content", "content_type")
+    return R.parse_replies(lifts.replies(spark, sf)).select("doc_id", "request_id", "region_num", "content", "content_type")
 
 
-@query("m10_failures", f"""WITH {REPLIES} SELECT doc_id, region_num, CASE WHEN doc_id % 8 = 3 THEN '[OCR_FAILED: page ' || (doc_id % 3 + 1) || ']' ELSE content END AS content, CASE WHEN doc_id % 8 = 3 THEN 'error' ELSE 'vlm' END AS source,
+@query("m10_failures", f"""WITH {REPLIES} SELECT doc_id, request_id, region_num, CASE WHEN (doc_id + request_id) % 8 = 3 THEN '[OCR_FAILED: page ' || (doc_id % 3 + 1) || ']' ELSE content END AS content, CASE WHEN (doc_id + request_id) % 8 = 3 THEN 'error' ELSE 'vlm' END AS source,
   CAST(trunc(ln * 10 / CAST(0.7 AS DOUBLE)) AS INTEGER) AS x1, CAST(trunc((ln * 20 + 35) / CAST(0.7 AS DOUBLE)) AS INTEGER) AS y2 FROM parsed""")
 def failures(spark, sf):
-    return R.recognized_blocks(lifts.replies(spark, sf)).select("doc_id", "region_num", "content", "source", F.col("bbox.x1").alias("x1"), F.col("bbox.y2").alias("y2"))
+    return R.recognized_blocks(lifts.replies(spark, sf)).select("doc_id", "request_id", "region_num", "content", "source", F.col("bbox.x1").alias("x1"), F.col("bbox.y2").alias("y2"))
 
 
-@query("a03_counters", f"WITH {O.LINES}, d AS (SELECT DISTINCT doc_id FROM lines WHERE ln < 5) SELECT doc_id, CAST(CASE WHEN doc_id % 8 = 3 THEN 0 ELSE 1 END AS BIGINT) AS api_calls, CASE WHEN doc_id % 8 = 3 THEN 'page ' || (doc_id % 3 + 1) || ': timeout' ELSE '' END AS errors FROM d")
+@query("a03_counters", f"WITH {O.LINES}, d AS (SELECT DISTINCT doc_id, ln // 5 AS rid FROM lines) SELECT doc_id, count(*) FILTER ((doc_id + rid) % 8 <> 3) AS api_calls, coalesce(string_agg('page ' || (doc_id % 3 + 1) || ': timeout', '; ') FILTER ((doc_id + rid) % 8 = 3), '') AS errors FROM d GROUP BY doc_id")
 def counters(spark, sf):
     return R.counters(lifts.replies(spark, sf), "doc_id").withColumn("errors", F.array_join("errors", "; "))
 
 
+@query("o04_first_errors", f"WITH {O.LINES}, d AS (SELECT DISTINCT doc_id % 10 AS grp, doc_id % 3 + 1 AS page, ln // 5 AS rid, (doc_id + ln // 5) % 8 = 3 AS failed, doc_id FROM lines), r AS (SELECT grp, page, rid, row_number() OVER (PARTITION BY grp ORDER BY page, rid, doc_id) AS k FROM d WHERE failed) SELECT grp, string_agg('page ' || page || ': timeout', '; ') AS errors FROM r WHERE k <= 5 GROUP BY grp")
+def first_errors(spark, sf):
+    answered = lifts.replies(spark, sf).withColumn("grp", F.col("doc_id") % 10)
+    return R.first_errors(answered, "grp").withColumn("errors", F.array_join("errors", "; "))
+
+
 @query("f09_validate", f"""WITH {O.BOXES}, w AS (
   SELECT doc_id, pos, {O.strip('content')} = '' AS empty, list_filter([CASE WHEN {O.strip('content')} = '' THEN 'empty output' END,
     CASE WHEN length(content) / ({O.size('boxes')} / CAST(1000 AS DOUBLE)) > 50 THEN 'output too long for area (density=' || printf('%.1f', length(content) / ({O.size('boxes')} / CAST(1000 AS DOUBLE))) || ')' END,
@@ -421,7 +426,7 @@ def content_types(spark, sf):
 # Native pages ---------------------------------------------------------------------------------------------------------
 
 WEB_SPANS = """found AS (SELECT page_id AS doc_id, regexp_extract_all(html, '<(h1|p|li|b)>([^<]*)<', 1) AS tags, regexp_extract_all(html, '<(h1|p|li|b)>([^<]*)<', 2) AS texts FROM pages),
-flat AS (SELECT doc_id, unnest(tags) AS tag, unnest(texts) AS text, generate_subscripts(tags, 1) - 1 AS pos FROM found),
+flat AS (SELECT doc_id, rid, unnest(tags) AS tag, unnest(texts) AS text, generate_subscripts(tags, 1) - 1 AS pos FROM found),
 spans AS (
   SELECT doc_id, pos // 2 AS line, pos, text, CASE tag WHEN 'h1' THEN 20.0 WHEN 'li' THEN 11.0 ELSE 12.0 END::DOUBLE AS size, CASE WHEN pos % 7 = 0 THEN '' WHEN pos % 11 = 0 THEN 'CMBX12' ELSE 'Arial' END AS font,
     tag IN ('h1', 'b') AS bold, pos % 5 = 0 AS italic FROM flat)"""
@@ -461,14 +466,14 @@ def cells_table(spark, sf):
 
 
 @query("f06_fallback", f"""WITH {O.BOXES}, s AS (
-  SELECT doc_id, pos, CASE WHEN pos % 4 = 3 THEN 'Times' WHEN doc_id % 13 = 0 THEN 'CMMI10' ELSE 'Arial' END AS font, pos // 3 AS b, CASE WHEN doc_id % 7 = 0 AND pos % 5 = 0 THEN chr(57344) || chr(57344) || left(content, 10) ELSE content END AS text FROM boxes),
+  SELECT doc_id, pos, CASE WHEN pos % 4 = 3 THEN 'Times' WHEN doc_id % 13 = 0 THEN 'CMMI10' ELSE 'Arial' END AS font, pos // 3 AS b, CASE WHEN doc_id % 7 = 0 AND pos % 5 = 0 THEN repeat(chr(57344), CAST(length(content) // 10 + 1 AS BIGINT)) || content ELSE content END AS text FROM boxes),
 r AS (SELECT doc_id, b, 0 AS kind, pos, 'formula' AS reason FROM s WHERE lower(font) LIKE '%cmmi%' UNION ALL SELECT doc_id, b, 1, pos, 'garbled_text' FROM s WHERE length(text) > 0 AND (length(text) - length(regexp_replace(text, '[\\p{{Co}}]', '', 'g'))) / CAST(length(text) AS DOUBLE) > 0.05)
 SELECT doc_id, CAST(b AS INTEGER) AS y1, arg_min(reason, kind * 100000 + pos) AS reason FROM r GROUP BY doc_id, b""")
 def fallback(spark, sf):
     n, d = F.col("pos"), F.col("doc_id")
     bbox = G.box(F.lit(0), F.floor(n / 3), F.lit(9), F.floor(n / 3) + 1)
     font = F.when(n % 4 == 3, "Times").when(d % 13 == 0, "CMMI10").otherwise("Arial")
-    text = F.when((d % 7 == 0) & (n % 5 == 0), F.concat(F.lit("\ue000\ue000"), F.substring("content", 1, 10))).otherwise(F.col("content"))
+    text = F.when((d % 7 == 0) & (n % 5 == 0), F.concat(F.repeat(F.lit("\ue000"), F.floor(F.length("content") / 10).cast("int") + 1), F.col("content"))).otherwise(F.col("content"))
     rows = lifts.boxes(spark, sf).select(*L.PAGE, n, bbox.alias("bbox"), font.alias("font"), text.alias("text"))
     return B.fallback_regions(rows, rows).select("doc_id", F.col("bbox.y1").alias("y1"), "reason")
 
@@ -476,7 +481,7 @@ def fallback(spark, sf):
 @query("u03_first_reason", f"WITH {O.BOXES} SELECT doc_id, CAST(x1 // 100 AS INTEGER) AS cell, arg_min(block_type, pos) AS reason FROM boxes WHERE block_type IN ('text', 'formula') GROUP BY 1, 2")
 def first_reason(spark, sf):
     rows = lifts.boxes(spark, sf).filter(F.col("block_type").isin("text", "formula")).select("doc_id", F.floor(F.col("bbox.x1") / 100).cast("int").alias("cell"), "pos", "block_type")
-    return rows.groupBy("doc_id", "cell").agg(F.min_by("block_type", "pos").alias("reason"))
+    return B.first_reasons(rows.select("doc_id", "cell", F.col("pos").alias("order_"), F.col("block_type").alias("reason")), "doc_id", "cell")
 
 
 @query("m13_native_blocks", f"""WITH {WEB_LINES}, texts AS (
@@ -580,17 +585,16 @@ def convert_documents(spark, sf):
 @query("u05_references", f"WITH {O.PAGED} SELECT doc_id, string_agg(content, chr(10) ORDER BY page_number, reading_order, pos) AS refs FROM paged WHERE block_type = 'reference' GROUP BY doc_id")
 def references(spark, sf):
     rows = lifts.paged_blocks(spark, sf).filter("block_type = 'reference'")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "reading_order", "pos", "content"))), lambda x: x["content"]), "\n")
-    return rows.groupBy("doc_id").agg(joined.alias("refs"))
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "reading_order", "pos", "content"))).alias("r"))
+    return listed.select("doc_id", joined_references("r", "\n").alias("refs"))
 
 
 @query("w09_page_markers", f"WITH {PLAIN}, {O.assembled('plain')} SELECT doc_id, CAST(pos AS INTEGER) AS pos, page_number <> before AS turned FROM body")
 def page_markers(spark, sf):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("doc_id").orderBy("page_number", "reading_order", "pos")
     rows = lifts.paged_blocks(spark, sf).filter("block_type <> 'reference'")
-    return rows.select("doc_id", "pos", (F.col("page_number") != F.coalesce(F.lag("page_number").over(order), F.lit(0))).alias("turned"))
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "reading_order", "pos"))).alias("body"))
+    turned = F.transform("body", lambda x, i: F.struct(x["pos"].alias("pos"), (x["page_number"] != page_before("body", i)).alias("turned")))
+    return listed.select("doc_id", F.inline(turned))
 
 
 @query("k02_metadata", "SELECT page_id, '{\"url\":' || to_json(url) || ',\"size\":' || length(html) || ',\"note\":null}' AS metadata FROM pages")
@@ -704,7 +708,7 @@ def select_pages(spark, sf):
 
 @query("s12_md5", "SELECT page_id, md5(html) AS md5 FROM pages")
 def md5(spark, sf):
-    return lifts.table(spark, sf, "pages").select("page_id", F.md5(F.col("html").cast("binary")).alias("md5"))
+    return lifts.table(spark, sf, "pages").select("page_id", T.text_md5(F.col("html")).alias("md5"))
 
 
 @query("f11_limits", """WITH r AS (SELECT o_orderkey AS request_id, o_orderkey % 17 = 0 AS other, o_orderkey % 130 AS mb, o_custkey % 260 + 1 AS pages FROM orders),

@@ -46,3 +46,29 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None
 def rejects_as_events(checked: DataFrame, ts: Column) -> DataFrame:
     """A created event for each accepted request; rejected ones never become tasks."""
     return checked.filter("status_code = 200").select(F.col("request_id").alias("task_id"), ts.alias("ts"), F.lit("created").alias("kind"))
+
+
+def cancelled(events: DataFrame, tasks: DataFrame, ts: Column) -> DataFrame:
+    """A cancel event at ts for each task (task_id) that is known and has not ended; others have nothing to cancel."""
+    running = latest_state(events).filter(~F.col("status").isin(*TERMINAL)).select("task_id")
+    return tasks.select("task_id").distinct().join(running, "task_id", "left_semi").select("task_id", ts.alias("ts"), F.lit("cancelled").alias("kind"))
+
+
+def notify(states: DataFrame, make, **call) -> DataFrame:
+    """task_id, delivered and error of ended tasks (task_id, status, callback_url): each state is posted to its address once.
+
+    make gives a plug-in with post(url, payload); call: retries, wait and timeout of each post. Tasks without an address are
+    left out. Materialise the result before using it twice.
+    """
+    import pandas as pd
+
+    from foliate.operators.recognize import tried
+
+    def run(frames):
+        plug = make()
+        for frame in frames:
+            made = [tried(plug.post, url, {"task_id": int(task), "status": status}, **call) for task, status, url in zip(frame["task_id"], frame["status"], frame["callback_url"], strict=True)]
+            yield pd.DataFrame({"task_id": frame["task_id"], "delivered": [m[1] is None for m in made], "error": [m[1] for m in made]})
+
+    ended = states.filter(F.col("status").isin(*TERMINAL) & F.col("callback_url").isNotNull())
+    return ended.select("task_id", "status", "callback_url").mapInPandas(run, "task_id long, delivered boolean, error string")

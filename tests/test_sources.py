@@ -29,9 +29,9 @@ def test_requests(spark):
 def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([(1, "# A\n\nb\n", 3)], "doc_id long, markdown string, pages int")
     write_markdown(docs, str(tmp_path / "md"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "md" / "doc_id=1"), wholetext=True).collect()] == ["# A\n\nb\n"]
+    assert [(r.doc_id, r.markdown, 0 <= r.shard < 64) for r in spark.read.parquet(str(tmp_path / "md")).collect()] == [(1, "# A\n\nb\n", True)]
     write_metadata(docs, str(tmp_path / "meta"), "pages")
-    assert json.loads(spark.read.text(str(tmp_path / "meta")).first().value) == {"pages": 3}
+    assert json.loads(spark.read.parquet(str(tmp_path / "meta")).first().metadata) == {"pages": 3}
     entries = spark.createDataFrame([("vlm", "k", 1.0, "x")], "tier string, key string, ts double, data string")
     for _ in range(2):
         write_entries(entries, str(tmp_path / "cache"))
@@ -42,7 +42,7 @@ def test_facade_and_command_line(spark, tmp_path, capsys):
     from foliate.plans.lifts import pages
 
     stages = []
-    engine = Engine(spark, {"cost_control": {"budget_yuan": 0.1}})
+    engine = Engine(spark, {"cost_control": {"budget_limit_yuan": 0.1}})
     engine.set_progress_callback(stages.append)
     row = engine.estimate(pages(spark, "/root/testdata/sf0.001")).first()
     assert row.total_pages == 200 and row.allowed is False and stages == ["estimate"]
