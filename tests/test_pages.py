@@ -95,7 +95,7 @@ def test_mixed_pages_and_failing_detectors(spark, tmp_path):
     spans = "array<struct<text:string,font:string,size:double,flags:int,x1:double,x2:double,y1:double,y2:double,line:int>>"
     pages = spark.createDataFrame(rows, f"doc_id long, page_number int, text string, width double, height double, spans {spans}, image_ratio double")
     made = {r.doc_id: r.markdown for r in Engine(spark).convert_pages(pages, Reader).collect()}
-    assert "$$\nx = 1 as it stands on the page\n$$" in made[1] and "read alone" in made[2]
+    assert "$$\nx = 1 as it stands on the page\n$$" in made[1] and "read by the model" in made[2]
     failed = detect(pages.selectExpr("doc_id", "page_number", "cast(width as int) width", "cast(height as int) height"), Broken).collect()
     assert [(r.block_type, r.confidence, r.bbox.y2) for r in failed] == [("text", 1.0, 800)] * 2
 
