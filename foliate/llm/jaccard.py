@@ -3,37 +3,47 @@
 Two sets of sizes a and b with similarity num/den or more differ in at most D = floor((den-num)/(den+num) (a+b)) shingles.
 Shingles are hashed into segments, more of them than D, so some segments of the two are equal. A document indexes the
 subset of its shingles in each segment: in the partition of its own size band, and in the one below if a partner may be
-there. A set with members in D segments at most may share only empty ones with a partner, which then has as few: it
-indexes its D + 1 least shingles as well, among which is the least one that both have. What keys cost decides how a
-document is matched:
+there. A set with members in D segments at most may share only empty ones with a partner, which then has as few: such sets
+also index the one-deletion neighbourhoods of their subsets, which allots two differences to each segment (one to a segment
+of one member, which the partner may lack), and, where even that is not enough, their D + 1 least shingles, among which is
+the least one that both have. What keys cost decides how a document is matched:
 
-1. Every key's documents are compared with one of them. Linked documents form components.
+1. Every key's documents are compared with one of them, for a dear key with the one in most dear keys. Linked documents
+   form components.
 2. Keys that still join several components get all pairs across these, if few documents share them.
 3. A key that many share is dear. A document with more than D cheap segments needs no dear key: a partner that agrees in
-   none of its cheap segments would differ too often. One with fewer allots two differences to each cheap segment (one
-   to a segment of one member, which the partner may lack) by indexing the one-deletion neighbourhoods of its subsets;
-   only if even these don't suffice, its dear keys are used.
+   none of its cheap segments would differ too often. One with fewer takes as many dear ones as it lacks, the first by value.
+4. Dear keys of the others that still join several components are not paired: each of their sets is written down as its
+   differences from the key's leader (see `_differences`). Sets that the leader is not linked with are far from it, so
+   two linked ones must share about half of their differences: a prefix of these is the key. Groups of up to MANY such sets
+   are compared in blocks, never gathered; larger ones get a leader of their own first, for some rounds. (One-deletion
+   neighbourhoods are of no use there: a set one step off a common subset meets all that have it.)
 
 All candidates are verified on the whole sets. Sets are of 64-bit hashes, and so are a set's id and a segment's key.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import WHITESPACE, cut, new_folder, remove_folder, rows_of, stored
+from foliate.llm.shared import NARROW, WHITESPACE, cut, free_name, new_folder, remove_folder, rows_of, stored, tidy
 
 #: A key that more documents share is dear.
 CHEAP = 24
 
-#: Sets in a block of comparisons within large groups, and bits of the short parities that tell which are needed.
-BLOCK, SHORT = 256, 256
+#: Sets in a block of comparisons within groups, and bits of their parities there.
+BLOCK, SHORT = 256, 1024
+
+#: Groups of differences of up to so many sets are compared in blocks at once, larger ones get further rounds of leaders
+#: first, up to so many.
+MANY, ROUNDS = 1024, 4
 
 #: Bits of the filter that tells which documents' sets are needed; a fixed size, however many there are.
 FILTER_BITS = 1 << 24
@@ -63,44 +73,66 @@ BYTES[65:91] = BYTES[97:123]
 PARTS = np.isin(np.arange(256), np.frombuffer(WHITESPACE, np.uint8))
 
 
-class Powers:
-    """Powers of an odd number modulo 2**64 and their inverses, as many as were asked for so far."""
+#: Powers of an odd number modulo 2**64 and their inverses. Longer words than that are hashed part by part.
+BASE = 0xD1342543DE82EF95
+
 
-    base = 0xD1342543DE82EF95
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base & (1 << 64) - 1, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> None:
-        if n > len(self.up):
-            n = max(n, 1 << 20)
-            steps = [np.full(n, x & (1 << 64) - 1, np.uint64) for x in (self.base, pow(self.base, -1, 1 << 64))]
-            for step in steps:
-                step[0] = 1
-            self.up, self.down = map(np.cumprod, steps)
+UP, DOWN = _powers(BASE, AT_ONCE), _powers(pow(BASE, -1, 1 << 64), AT_ONCE)
 
 
-POWERS = Powers()
+def _blocks(parts: np.ndarray, edge: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """(start, stop, whether a word goes on) of blocks of AT_ONCE bytes at most, cut between words where there is a gap."""
+    start, n = 0, len(parts)
+    while start < n:
+        stop = min(start + AT_ONCE, n)
+        goes_on = False
+        if stop < n and not edge[stop] and not parts[stop - 1] and not parts[stop]:
+            gaps = np.flatnonzero(parts[start:stop] | edge[start + 1 : stop + 1])
+            goes_on = not len(gaps)
+            stop = stop if goes_on else start + int(gaps[-1]) + 1
+        yield start, stop, goes_on
+        start = stop
 
 
 def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, words before each text and in all) of texts side by side; text k ends before ends[k].
 
-    Each word is a polynomial of its bytes' numbers, read off running sums, so that a whole batch is hashed at once.
+    Each word is a polynomial of its bytes' numbers, read off running sums, so that a whole block is hashed at once. A word
+    of more than AT_ONCE bytes is hashed in parts, whose hashes are mixed in a row.
     """
     n = len(raw)
     starts_of = np.concatenate([[0], ends[:-1]])
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(ends) + 1, np.int64)
-    POWERS.upto(n)
     parts = PARTS[raw]
     edge = np.zeros(n + 1, bool)
     edge[starts_of] = edge[n] = True
-    first = np.flatnonzero(~parts & (np.concatenate([[True], parts[:-1]]) | edge[:-1]))
-    last = np.flatnonzero(~parts & (np.concatenate([parts[1:], [True]]) | edge[1:]))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[raw] * POWERS.up[:n])])
-    hashed = mix((total[last + 1] - total[first]) * POWERS.down[first] + (last - first).astype(np.uint64) * C1)
-    return hashed, np.append(np.searchsorted(first, starts_of), len(first))
+    hashes, firsts = [], []
+    begun: tuple[int, np.ndarray] | None = None  # first byte and mixed hash of a word that goes on in the next block
+    for start, stop, goes_on in _blocks(parts, edge):
+        gap = parts[start:stop]
+        new = np.concatenate([[True], gap[:-1]]) | edge[start:stop]
+        over = np.concatenate([gap[1:], [True]]) | edge[start + 1 : stop + 1]
+        first, last = np.flatnonzero(~gap & new), np.flatnonzero(~gap & over)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[raw[start:stop]] * UP[: stop - start])])
+        hashed = mix((total[last + 1] - total[first]) * DOWN[first] + (last - first).astype(np.uint64) * C1)
+        first = first + start
+        if begun:
+            hashed[:1] = mix(begun[1] * C1 + hashed[:1])
+            first[0] = begun[0]
+        begun = None
+        if goes_on:
+            begun, hashed, first = (int(first[-1]), hashed[-1:]), hashed[:-1], first[:-1]
+        hashes.append(hashed)
+        firsts.append(first)
+    first = np.concatenate(firsts)
+    return np.concatenate(hashes), np.append(np.searchsorted(first, starts_of), len(first))
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -187,10 +219,20 @@ class Bands:
         base = mix(segment[first] * C2 + np.uint64(band + 64 * salt + 1))
         return mix(sums ^ base), first, base
 
-    def least(self, members: np.ndarray, band: int, segments: int) -> np.ndarray:
-        """Keys of a set's least shingles, if it has members in so few segments that a partner may share none of these."""
+    def least(self, members: np.ndarray, band: int) -> np.ndarray:
+        """Further keys of a set that has members in so few segments that a partner may share none of these: its segments'
+        subsets, and those without one member. A partner that meets it in none of them differs twice in each segment, or
+        once where the set has one member and the partner none. Where that may be, its least shingles are keys as well."""
         most = self.most_differences(len(members), band)
-        return mix(mix(members[: most + 1] * C1) ^ mix(np.full(1, band + 129, np.uint64))) if segments <= most else members[:0]
+        whole, first, base = self.keys(members, band, 1)
+        if len(first) > most:
+            return members[:0]
+        sizes = np.diff(np.append(first, len(members)))
+        inside = np.repeat(np.arange(len(first)), sizes)
+        hashed = mix(members * C1)
+        without = mix((np.add.reduceat(hashed, first)[inside] - hashed) ^ base[inside])[sizes[inside] > 1]
+        enough = np.minimum(sizes, 2).sum() > most
+        return np.concatenate([whole, without, members[:0] if enough else mix(hashed[: most + 1] ^ mix(np.full(1, band + 129, np.uint64)))])
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
@@ -202,7 +244,7 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "sid", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sid long, parity binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, sid long, parity binary")
 
 
 def _index(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
@@ -225,7 +267,7 @@ def _index(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                 for k, band in enumerate(bands.bands_of(len(members))):
                     own = bands.keys(members, band)[0]
                     spare = len(own) - bands.most_differences(len(members), band)
-                    own = np.concatenate([own, bands.least(members, band, len(own))])
+                    own = np.unique(np.concatenate([own, bands.least(members, band)]))
                     keys.append(own.view(np.int64))
                     ids.append(np.full(len(own), sid, np.int64))
                     sizes.append(np.full(len(own), -len(members) if k else len(members), np.int32))
@@ -233,7 +275,7 @@ def _index(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes, spares)], names=["key", "sid", "n", "spare"])
 
-    return docs.select("text").mapInArrow(run, "key long, sid long, n int, spare int")
+    return docs.select("text").mapInArrow(tidy(run), "key long, sid long, n int, spare int")
 
 
 def _groups(index: DataFrame, bands: Bands) -> DataFrame:
@@ -290,7 +332,7 @@ def _groups(index: DataFrame, bands: Bands) -> DataFrame:
         if len(held[0]):
             yield from closed(*held)
 
-    return index.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(run, "key long, sid long, n int, spare int, leader long, dear boolean")
+    return index.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(tidy(run), "key long, sid long, n int, spare int, leader long, dear boolean")
 
 
 def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
@@ -298,9 +340,8 @@ def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
     return rows.select(a.alias("a"), b.alias("b")).filter("a < b").groupBy("a", "b").agg(F.lit(1).alias("_")).drop("_")
 
 
-#: What a row of a group stands for: the plain key of a segment; a segment's subset, or that without one member; DEAR is
-#: added where the segment's plain key is dear.
-PLAIN, WHOLE, WITHOUT, DEAR = -1, 0, 1, 4
+#: What a row of differences stands for: a set joined with the leader; one apart from it; one apart, for joined ones only.
+JOINED, APART, PROBE = 0, 1, 2
 
 
 def _across(groups: DataFrame, bands: Bands) -> DataFrame:
@@ -323,73 +364,105 @@ def _across(groups: DataFrame, bands: Bands) -> DataFrame:
     return _pairs(listed.select("group").mapInArrow(run, "x long, y long"), "x", "y")
 
 
-def _relations(rows: DataFrame, bands: Bands) -> DataFrame:
-    """sid, other: sets, and larger components that have a set in one of their groups which sizes and short parities
-    don't rule out, from rows (key, sid, n, comp, size, kind, bits).
+def _contested(rows: DataFrame) -> DataFrame:
+    """The rows (key, sid, n, comp, kind) of keys in which sets of several components meet, with rows: how many do so.
 
-    A set stands against a component as a whole, so a group of copies costs a row for each that has not joined it, not
-    one for each pair. Plain rows meet each other; subsets meet those without a member if one of the segments is cheap.
+    Joined sets meet all others, sets apart meet each other too, probes meet joined sets alone and don't count.
+    """
+    count = lambda *kinds: F.count(F.when(F.col("kind").isin(*kinds), 1))
+    meet = (count(APART) > 1) | ((count(JOINED) > 0) & (count(APART, PROBE) > 0))
+    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), meet.alias("meet"), count(JOINED, APART).alias("rows"))
+    return rows.join(keys.filter("lo < hi and meet").select("key", "rows"), "key")
+
+
+def _meetings(rows: DataFrame, bands: Bands) -> DataFrame:
+    """a, b of all pairs across components that meet in one of the keys, of CHEAP rows besides probes each."""
+    one, two = (rows.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("sid", "n", "comp", "kind"))) for k in (1, 2))
+    n, m = F.col("n1"), F.col("n2")
+    fit = F.lit(bands.den) * F.least(n, m) >= F.lit(bands.num) * F.greatest(n, m)
+    # Each pair meets once: joined sets stand on the right; two sets apart stand in the order of their ids.
+    apart = (F.col("kind1") == APART) & (F.col("kind2") == APART) & (F.col("sid1") < F.col("sid2"))
+    meet = apart | ((F.col("kind1") != JOINED) & (F.col("kind2") == JOINED))
+    return _pairs(one.join(two.filter(F.col("kind2") != PROBE), "key").filter((F.col("comp1") != F.col("comp2")) & fit & meet), "sid1", "sid2")
+
+
+def _led(groups: DataFrame, often: DataFrame, shared: bool = False) -> DataFrame:
+    """key, leader: of each key's sets the one in most dear keys (often: sid, often), which is the least changed one of a
+    group of near copies. shared: the best leader that the sets of the key have in any of their keys, so that the keys of
+    such a group have one leader in common; it need not have the key itself."""
+    best = lambda rows, by: rows.groupBy(by).agg(F.max("lead").alias("lead"))
+    lead = best(groups.select("key", "sid").join(often, "sid").select("key", F.struct("often", "sid").alias("lead")), "key")
+    for by in ("sid", "key") if shared else ():
+        other = "key" if by == "sid" else "sid"
+        lead = best(groups.select("key", "sid").join(lead, other), by)
+    return lead.select("key", F.col("lead.sid").alias("leader"))
+
+
+def _differences(scope: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """key, sid, n, comp, kind: the differences of sets from their leaders that serve as keys, from rows (leader, sid,
+    comp, apart: whether the leader is in another component).
+
+    X and Y are the differences of sets x and y from the leader c, as shingles gained and lost: x and y differ in
+    |X| + |Y| - 2 |X and Y| shingles, at most D(x, y) if they are linked. c is not linked with a set x apart, so
+    |X| > D(x, c). Hence y shares at least (|Y| + 1 + D(x, c) - D(x, y)) / 2 of its differences with any linked set apart,
+    where D(x, y) - D(x, c) exceeds 0 by (den-num)/(den+num) (|y| - |c|) at most, rounded up; and x apart shares at
+    least |X| - D(x, y) with any linked y, since it can share |Y| at most. Of two sets that share so many differences the
+    first ones in a common order, all but that number less one, have one in common. The order is: gained shingles first,
+    which few others gain, by their hashes. Joined sets need no key for each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made_a, made_b = [], []
-            for group in batch.column("group"):
-                sid, comp, size, kind, n = (group.values.field(k).to_numpy() for k in range(5))
-                bits = np.frombuffer(b"".join(group.values.field(5).to_pylist()), np.uint64).reshape(len(sid), -1)
-                _, rank = np.unique(np.stack([size, comp], 1), axis=0, return_inverse=True)
-                rank = rank.ravel()
-                plain = kind == PLAIN
-                few, many = np.flatnonzero(kind % 2 == 1), np.flatnonzero(kind % 2 == 0)
-                if plain.any():
-                    few = many = np.flatnonzero(plain)
-                elif len(many) < len(few):
-                    few, many = many, few
-                for k in few:
-                    rest = many[(rank[many] != rank[k]) & (np.minimum(kind[many], kind[k]) < DEAR)]
-                    rest = rest[bands.sizes_fit(n[rest], n[k])]
-                    rest = rest[np.bitwise_count(bits[rest] ^ bits[k]).sum(1) <= bands.differences(n[rest], n[k])]
-                    larger, smaller = np.unique(comp[rest[rank[rest] > rank[k]]]), rest[rank[rest] < rank[k]]
-                    made_a += [np.full(len(larger), sid[k]), sid[smaller[:0] if plain.any() else smaller]]
-                    made_b += [larger, np.full(len(made_a[-1]), comp[k])]
-            if made_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made_a)), pa.array(np.concatenate(made_b))], names=["sid", "other"])
+            out: list[list[np.ndarray]] = []
+            for k, (leader, sid, comp, apart) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("leader", "sid", "comp", "apart")), strict=True)):
+                x, c = (np.frombuffer(batch.column(m)[k].as_buffer(), np.uint64) for m in ("members", "center"))
+                gained = x[c[np.minimum(np.searchsorted(c, x), len(c) - 1)] != x]
+                lost = c[x[np.minimum(np.searchsorted(x, c), len(x) - 1)] != c]
+                all_ = np.concatenate([mix(gained * C1), mix(lost * C2 + C3)])
+                n, more = len(x), max(0, len(x) - len(c))
+                beyond = -(-(bands.den - bands.num) * more // (bands.den + bands.num))
+                first = len(all_) + 1 - max(1, (len(all_) + 2 - beyond) // 2)
+                last = len(all_) + 1 - max(1, len(all_) - bands.differences(n, n * bands.den // bands.num)) if apart else first
+                keys = mix(all_[: max(first, last)] ^ mix(np.full(1, leader, np.int64).view(np.uint64)))
+                kind = np.where(np.arange(len(keys)) < first, APART if apart else JOINED, PROBE).astype(np.int32)
+                out.append([keys.view(np.int64), np.full(len(keys), sid), np.full(len(keys), n), np.full(len(keys), comp), kind])
+                if sum(len(o[0]) for o in out) > 100_000:
+                    yield made(out)
+                    out = []
+            if out:
+                yield made(out)
 
-    listed = rows.groupBy("key").agg(F.collect_set(F.struct("sid", "comp", "size", "kind", "n", "bits")).alias("group"), F.collect_set("kind").alias("kinds")).filter(F.size("group") > 1)
-    several = F.exists("kinds", lambda k: k == PLAIN) | (F.exists("kinds", lambda k: k % 2 == 1) & F.exists("kinds", lambda k: k % 2 == 0) & F.exists("kinds", lambda k: k < DEAR))
-    return listed.filter(several).select("group").mapInArrow(run, "sid long, other long").groupBy("sid", "other").agg(F.lit(1).alias("_")).drop("_")
+    def made(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["key", "sid", "n", "comp", "kind"])
 
+    whole = scope.join(sets, "sid").join(sets.select(F.col("sid").alias("leader"), F.col("members").alias("center")), "leader")
+    return whole.select("leader", "sid", "comp", "apart", "members", "center").mapInArrow(tidy(run), "key long, sid long, n long, comp long, kind int")
 
-def _joined_to(relations: DataFrame, members: DataFrame, bands: Bands) -> DataFrame:
-    """a, b: a link of each set with a component that it is related to, if it has one.
 
-    members: sid, comp, members of all sets that may be partners. Sets and components meet in blocks of about BLOCK sets
-    each, whose number follows their counts.
-    """
-    blocks = lambda rows, by, name: rows.groupBy(F.col(by).alias("comp")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    shape = cut(blocks(relations, "other", "rows_").join(blocks(members, "comp", "columns_"), "comp"))
-    share = lambda name: F.pmod(F.xxhash64("sid"), F.col(name)).cast("int")
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    asked = relations.withColumnRenamed("other", "comp").join(members.select("sid", "members"), "sid").join(shape, "comp")
-    asked = asked.select("comp", share("rows_").alias("r"), every("columns_").alias("c"), "sid", "members", F.lit(True).alias("asks"))
-    there = members.join(shape, "comp").select("comp", every("rows_").alias("r"), share("columns_").alias("c"), "sid", "members", F.lit(False).alias("asks"))
+def _in_blocks(groups: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """a, b: links that join the components which groups (key, sid, comp) still hold, each block of about BLOCK sets of a
+    key compared with each other block of it: exact, whatever the group is like, and no task holds more than two blocks."""
+    shape = groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = groups.join(shape, "key").withColumn("at", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("key", "sid", "comp", "at", other.alias("other")).select("key", "sid", "comp", F.least("at", "other").alias("r"), F.greatest("at", "other").alias("c"))
 
     def run(group: pa.Table) -> pa.Table:
-        asks, sids = group["asks"].to_numpy(), group["sid"].to_numpy()
-        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in group["members"]]
-        bits = [np.frombuffer(parity(m), np.uint8) for m in sets]
+        sid, comp = group["sid"].to_numpy(), group["comp"].to_numpy().copy()
+        members = [np.frombuffer(m.as_buffer(), np.uint64) for m in group["members"]]
+        bits = np.stack([np.frombuffer(parity(m, SHORT), np.uint64) for m in members])
+        n = np.array([len(m) for m in members])
         links = []
-        for x in np.flatnonzero(asks):
-            for y in np.flatnonzero(~asks):
-                n, m = len(sets[x]), len(sets[y])
-                if not bands.sizes_fit(n, m) or parity_distance(bits[x], bits[y]) > bands.differences(n, m):
-                    continue
-                if bands.alike(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), n, m):
-                    links.append((sids[x], sids[y]))
-                    break
+        for x in range(len(sid) - 1):
+            rest = x + 1 + np.flatnonzero((comp[x + 1 :] != comp[x]) & bands.sizes_fit(n[x + 1 :], n[x]))
+            rest = rest[np.bitwise_count(bits[rest] ^ bits[x]).sum(1) <= bands.differences(n[rest], n[x])]
+            for y in rest:
+                if comp[y] != comp[x] and bands.alike(len(np.intersect1d(members[x], members[y], assume_unique=True)), n[x], n[y]):
+                    links.append((sid[x], sid[y]))
+                    comp[comp == comp[y]] = comp[x]
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return asked.unionByName(there).groupBy("comp", "r", "c").applyInArrow(run, "a long, b long")
+    return rows.join(sets, "sid").groupBy("key", "r", "c").applyInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
@@ -415,7 +488,7 @@ def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], names=["sid", "members"])
 
-    found = docs.select("text").mapInArrow(run, "sid long, members binary")
+    found = docs.select("text").mapInArrow(tidy(run), "sid long, members binary")
     return found.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -433,7 +506,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     joined = pairs.join(sets.select(F.col("sid").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("sid").alias("a"), F.col("members").alias("x")), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _possible(pairs: DataFrame, parities: DataFrame, bands: Bands) -> DataFrame:
@@ -448,7 +521,7 @@ def _possible(pairs: DataFrame, parities: DataFrame, bands: Bands) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     one, two = (parities.select(F.col("sid").alias(s), F.col("n_shingles").alias(n), F.col("parity").alias(p)) for s, n, p in (("a", "n", "x"), ("b", "m", "y")))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _forest(links: DataFrame, roots: bool) -> DataFrame:
@@ -474,7 +547,7 @@ def _forest(links: DataFrame, roots: bool) -> DataFrame:
         for k in range(0, len(rows), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + 100_000], strict=True)], names=["u", "v"])
 
-    return links.mapInArrow(run, "u long, v long")
+    return links.mapInArrow(tidy(run), "u long, v long")
 
 
 def components(links: DataFrame, most: int = FOREST) -> DataFrame:
@@ -503,61 +576,30 @@ def components(links: DataFrame, most: int = FOREST) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _needy(dear: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """What sets need whose cheap segments don't suffice: rows (key, sid, n, comp, size, kind, bits).
-
-    The one-deletion neighbourhoods of all their segments: a partner that agrees in no cheap segment, not even but for
-    one member, differs twice in each, or once where the set has one member and the partner none: an empty segment has no
-    row to meet. Where not even that is too much, the dear keys follow once more, as plain ones.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[np.ndarray]] = []
-            bits: list[tuple[bytes, int]] = []
-            for row in range(batch.num_rows):
-                sid, n, comp, size = (batch.column(c)[row].as_py() for c in ("sid", "n", "comp", "size"))
-                members = np.frombuffer(batch.column("members")[row].as_buffer(), np.uint64)
-                used = batch.column("keys")[row].values.to_numpy()
-                band = abs(n).bit_length() - (1 if n > 0 else 2)
-                keys, first, _ = bands.keys(members, band)
-                cheap = ~np.isin(keys.view(np.int64), used)
-                most = bands.most_differences(abs(n), band)
-                if cheap.sum() > most:
-                    continue
-                whole, first, base = bands.keys(members, band, 1)
-                inside = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(members))))
-                hashed = mix(members * C1)
-                without = mix((np.add.reduceat(hashed, first)[inside] - hashed) ^ base[inside])
-                level = np.where(cheap, 0, DEAR).astype(np.int32)
-                made = [(whole.view(np.int64), WHOLE + level), (without.view(np.int64), WITHOUT + level[inside])]
-                if np.minimum(np.diff(np.append(first, len(members))), 2)[cheap].sum() <= most:
-                    made.append((used, np.full(len(used), PLAIN, np.int32)))
-                bits.append((parity(members, SHORT), sum(len(k) for k, _ in made)))
-                out += [[k, np.full(len(k), sid), np.full(len(k), len(members)), np.full(len(k), comp), np.full(len(k), size), kind] for k, kind in made]
-            if out:
-                short = np.concatenate([np.tile(np.frombuffer(b, np.uint8), (k, 1)) for b, k in bits])
-                column = pa.Array.from_buffers(pa.binary(SHORT // 8), len(short), [None, pa.py_buffer(short.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), column], names=["key", "sid", "n", "comp", "size", "kind", "bits"])
-
-    by_set = dear.groupBy("sid", "n", "comp", "size").agg(F.collect_list("key").alias("keys"))  # a key for each segment or shingle at most
-    return by_set.join(sets, "sid").select("sid", "n", "comp", "size", "keys", "members").mapInArrow(run, "key long, sid long, n long, comp long, size long, kind int, bits binary")
-
-
 def near_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(set_rows, components of linked sets: node, root) of docs (doc_id, text); sets without links have no component."""
-    spark = docs.sparkSession
-    bands, folder = Bands(num, den), new_folder(spark, "near")
+    folder = new_folder(docs.sparkSession, "near")
+    try:
+        return _near_sets(docs, words, Bands(num, den), folder)
+    finally:
+        remove_folder(docs.sparkSession, folder)
+
+
+def _near_sets(docs: DataFrame, words: int, bands: Bands, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = cut(set_rows(docs, words))
     parities = cut(rows.filter("sid is not null").select("sid", "n_shingles", "parity").dropDuplicates(["sid"]))
-    shared = stored(_groups(_index(docs, words, bands), bands), f"{folder}/shared")
-    dear = shared.filter("dear")
-    scarce = dear.groupBy("sid", "n").agg(F.count_distinct("key").alias("keys"), F.max("spare").alias("spare")).filter("keys >= spare").select("sid", "n")
-    dear = cut(dear.select("key", "sid", "n").distinct().join(scarce, ["sid", "n"]))  # other sets have cheap keys enough
-    star = dear.join(dear.groupBy("key").agg(F.min("sid").alias("leader")), "key").select("leader", "sid")
+    shared = stored(_groups(_index(docs, words, bands), bands), f"{folder}/shared", NARROW)
+    # Sets with cheap keys enough need no dear ones; the others add as many, in the order of the keys, as they lack. Of two
+    # linked sets the one whose last such key is the smaller has an equal key among its own, which the other has then as well.
+    listed = shared.filter("dear").groupBy("sid", "n").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.max("spare").alias("spare"))
+    lacks = F.size("keys") - F.col("spare") + 1
+    dear = cut(listed.filter("size(keys) >= spare").select("sid", "n", F.explode(F.slice("keys", F.lit(1), lacks)).alias("key")))
+    often = cut(dear.groupBy("sid").agg(F.count("*").alias("often")))
+    star = dear.join(_led(dear, often, True), "key").select("leader", "sid")
     first = cut(_pairs(shared.filter("leader is not null").select("leader", "sid").unionByName(star), "leader", "sid"))
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The alike ones among pairs, with the sets read from the texts."""
         pairs = cut(_possible(pairs, parities, bands))
         wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
         return cut(_verified(pairs, stored(_sets(docs, words, wanted), f"{folder}/{name}"), bands))
@@ -571,21 +613,39 @@ def near_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
         several = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
         return comp.join(several, "key", "left_semi")
 
-    second = cut(_across(opened(shared.filter("key is not null and not dear")), bands).join(first, ["a", "b"], "left_anti"))
-    more = linked(second, "second")
-    if not more.isEmpty():
+    def joined_by(more: DataFrame) -> bool:
+        """Takes up links that were found, if there are any."""
+        nonlocal links, joined
+        if more.isEmpty():
+            return False
         links = links.unionByName(more)
         joined = components(links)
-    sizes = joined.groupBy(F.col("root").alias("comp")).agg(F.count("*").alias("size"))
-    dear = cut(opened(dear).join(sizes, "comp", "left").fillna(1, ["size"]))
-    if not dear.isEmpty():
-        sets = stored(_sets(docs, words, dear.select("sid").distinct()), f"{folder}/dear")
-        needy = stored(_needy(dear, sets, bands), f"{folder}/needy")
-        members = cut(needy.select("sid", "comp").distinct().join(sets, "sid"))
-        more = cut(_joined_to(cut(_relations(needy, bands)), members, bands))
-        if not more.isEmpty():
-            joined = components(links.unionByName(more))
-    remove_folder(spark, folder)
+        return True
+
+    second = cut(_across(opened(shared.filter("key is not null and not dear")), bands).join(first, ["a", "b"], "left_anti"))
+    joined_by(linked(second, "second"))
+    groups = cut(opened(dear))
+    if not groups.isEmpty():
+        wanted = groups.select("sid").unionByName(_led(groups, often, True).select(F.col("leader").alias("sid"))).distinct()
+        sets = stored(_sets(docs, words, wanted), f"{folder}/dear")
+        known = lambda pairs: cut(_verified(_possible(pairs, parities, bands), sets, bands))
+    for k in itertools.count():
+        if groups.isEmpty():
+            break
+        scope = cut(groups.join(_led(groups, often, k == 0), "key").select("leader", "sid").distinct())
+        joined_by(known(_pairs(scope, "leader", "sid").join(first, ["a", "b"], "left_anti")))
+        node = lambda name, comp: joined.select(F.col("node").alias(name), F.col("root").alias(comp))
+        comps = scope.join(node("sid", "comp"), "sid", "left").join(node("leader", "leads"), "leader", "left")
+        comps = comps.select("leader", "sid", F.coalesce("comp", "sid").alias("comp"), F.coalesce("leads", "leader").alias("leads"))
+        comps = comps.withColumn("apart", F.col("comp") != F.col("leads")).drop("leads")
+        several = comps.filter("apart").select("leader").distinct()
+        found = cut(_contested(stored(_differences(comps.join(several, "leader", "left_semi"), sets, bands), f"{folder}/differences-{k}")))
+        joined_by(known(_meetings(found.filter(f"rows <= {CHEAP}"), bands)))
+        large = cut(opened(found.filter(f"rows > {CHEAP}").select("key", "sid", "n", "rows").distinct()))
+        joined_by(cut(_in_blocks(large if k == ROUNDS else large.filter(f"rows <= {MANY}"), sets, bands)))
+        if k == ROUNDS:
+            break
+        groups = cut(opened(large.filter(f"rows > {MANY}").select("key", "sid", "n")))
     return rows.drop("parity"), joined
 
 
@@ -617,17 +677,17 @@ def near_filter(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     classes = cut(least.join(roots, "root").select("sid", "keep_id", "keep_sid"))
     twice = cut(rows.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 or doc_id is null").select("doc_id"))
     gone = rows.join(classes, "sid").filter("doc_id <> keep_id").select("doc_id").unionByName(twice)
-    gone = cut(gone.filter("doc_id is not null").select(F.col("doc_id").alias("gone_")).distinct())
+    name = free_name(docs.columns)
+    gone = cut(gone.filter("doc_id is not null").select(F.col("doc_id").alias(name)).distinct())
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, docs["doc_id"] == F.col("gone_"), "left_anti")
+    kept = docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
     if twice.isEmpty():
         return kept
-    key = max(docs.columns, key=len) + "_"
-    part = docs.join(twice.select(F.col("doc_id").alias("twice_")), docs["doc_id"].eqNullSafe(F.col("twice_")), "left_semi")
-    part = cut(part.withColumn(key, F.monotonically_increasing_id()))
-    sets = set_rows(part.select(F.col(key).alias("doc_id"), "text"), words).select(F.col("doc_id").alias("key_"), "sid")
-    sets = cut(sets.join(part.select(F.col(key).alias("key_"), F.col("doc_id").cast("long").alias("doc_id")), "key_"))
-    one = sets.join(classes, "sid").filter("sid = keep_sid and doc_id <=> keep_id").groupBy("sid").agg(F.min("key_").alias("key_")).select("key_")
-    stay = cut(one.unionByName(sets.filter("sid is null").select("key_")))
-    return kept.filter(docs["doc_id"].isNotNull()).union(part.join(stay, part[key] == F.col("key_"), "left_semi").drop(key))
+    part = docs.join(twice.select(F.col("doc_id").alias(name)), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    part = cut(part.withColumn(name, F.monotonically_increasing_id()))
+    sets = set_rows(part.select(F.col(name).alias("doc_id"), "text"), words).select(F.col("doc_id").alias("key"), "sid")
+    sets = cut(sets.join(part.select(F.col(name).alias("key"), F.col("doc_id").cast("long").alias("doc_id")), "key"))
+    one = sets.join(classes, "sid").filter("sid = keep_sid and doc_id <=> keep_id").groupBy("sid").agg(F.min("key").alias("key")).select("key")
+    stay = cut(one.unionByName(sets.filter("sid is null").select("key"))).withColumnRenamed("key", name)
+    return kept.filter(F.col("doc_id").isNotNull()).union(part.join(stay, name, "left_semi").select(docs.columns))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,24 +17,41 @@ from pyspark.sql import functions as F
 #: Bytes that separate words: space and 0x09 to 0x0D. bytes.split() and bytes.strip() use this very set.
 WHITESPACE = b" \t\n\r\x0b\x0c"
 
+#: Rows of an Arrow batch, where rows hold texts or sets and where they hold a few numbers.
+BATCH_ROWS, WIDE, NARROW = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000, 10_000
+
 #: Used only where the session names no spark.checkpoint.dir, as in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors can reach, from spark.checkpoint.dir."""
+    """The folder that the driver and all executors can reach, from spark.checkpoint.dir; a cluster must name one."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors can reach")
     return folder or LOCAL_CHECKPOINTS
 
 
-def cut(frame: DataFrame) -> DataFrame:
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it holds, Arrow batches have so many rows at most, since Spark bounds them by rows alone, not by bytes."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
+def cut(frame: DataFrame, batch: int = WIDE) -> DataFrame:
     """frame, computed once and kept in the shared folder: later steps read it there, also after an executor is lost."""
     spark = frame.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(spark))
-    return frame.checkpoint(eager=True)
+    with batches_of(spark, batch):
+        return frame.checkpoint(eager=True)
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -37,9 +59,10 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def stored(frame: DataFrame, path: str) -> DataFrame:
+def stored(frame: DataFrame, path: str, batch: int = WIDE) -> DataFrame:
     """frame written as a compressed table below the shared folder, and read from there."""
-    frame.write.option("compression", "zstd").parquet(path)
+    with batches_of(frame.sparkSession, batch):
+        frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
@@ -78,6 +101,11 @@ def read_file(uri: str) -> bytes:
         return stream.read()
 
 
+def free_name(columns: list[str]) -> str:
+    """A column name that a table of these columns hasn't got."""
+    return max(map(str.lower, columns), key=len, default="") + "_"
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of doc_id written as decimal text, modulo divisor; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
@@ -108,6 +136,22 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(F.lit(False) if least is None else F.col("n") >= least)
 
 
+def tidy(run: Callable) -> Callable:
+    """run, a function of batches for mapInArrow, so that a worker gives memory back when a task of it ends: Spark keeps
+    workers from task to task, and what one has freed would else count as its own for good."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], most: int, weight: str | None = None, heavy: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """batches cut so that none has more than `most` rows or, in column `weight`, much over `heavy` bytes (one row at least)."""
     for batch in batches:

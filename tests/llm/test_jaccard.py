@@ -3,7 +3,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from foliate.llm import jaccard
 from foliate.llm.jaccard import Bands, components, near_classes, near_filter, shingle_sets
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -126,7 +128,7 @@ def test_sets_in_few_segments_share_a_key():
                 one, other = (bands.keys(s, band)[0] for s in (a, b))
                 if not np.isin(one, other).any():
                     seen += 1
-                    assert np.isin(bands.least(a, band, len(one)), bands.least(b, band, len(other))).any()
+                    assert np.isin(bands.least(a, band), bands.least(b, band)).any()
     assert seen
 
 
@@ -136,3 +138,98 @@ def test_filter_of_repeated_and_null_ids(spark):
     kept = [tuple(r) for r in near_filter(spark.createDataFrame(rows, "doc_id long, text string, sid int")).collect()]
     assert sorted(str(r[:2]) for r in kept) == sorted(map(str, [(1, same), (2, other), (None, null), (None, ""), (None, ""), (3, "x"), (5, None), (5, None)]))
     assert set(kept) <= set(rows) and len(set(kept)) == len(kept)
+
+
+def spread(seed, copies, base, changes):
+    """A base text and copies with words replaced at random, many of which are unlike the base and each other."""
+    rng = random.Random(seed)
+    words = [f"s{seed}x{k}" for k in range(base)]
+    rows = [(1, " ".join(words))]
+    for k in range(copies):
+        copy = list(words)
+        for at in rng.sample(range(base), rng.choice(changes)):
+            copy[at] = f"n{rng.randrange(300)}"
+        rows.append((2 + k, " ".join(copy)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("setting", [(4, 85, 100), (5, 80, 100)])
+def test_large_group_around_the_threshold(spark, setting):
+    check(spark, spread(1, 250, 100, (1, 2, 3, 4, 5, 6, 8, 12)), *setting)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_families_and_cut_copies_in_a_large_group(spark, monkeypatch, rounds):
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    monkeypatch.setattr(jaccard, "MANY", 30 if rounds else 1024)
+    rng, rows = random.Random(3), []
+    words = [f"base{k}" for k in range(120)]
+    for family in range(4):
+        own = list(words)
+        for at in rng.sample(range(120), 5 * family):
+            own[at] = f"f{family}x{at}"
+        for _ in range(60):
+            copy = list(own)
+            for at in rng.sample(range(120), rng.randrange(6)):
+                copy[at] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000 + k, " ".join(words[: rng.randrange(80, 121)])) for k in range(80)]
+    check(spark, rows)
+
+
+def test_singletons_and_empty_segments_with_many_sharers(spark):
+    rng, rows, bands, bases = random.Random(17), [], Bands(85, 100), 0
+    while bases < 2:  # a base whose shingles leave a segment empty, and copies whose one more shingle falls into that
+        base = [f"b{rng.randrange(10**6)}" for _ in range(9)]
+        segments = lambda text: set((shingle_sets(pa.array([text]), 4)[0].astype(object) * bands.segments(2) >> 64).tolist())
+        empty = set(range(bands.segments(2))) - segments(" ".join(base))
+        if len(empty) != 1:
+            continue
+        rows.append((1000 * bases, " ".join(base)))
+        while len(rows) < 61 * (bases + 1):
+            text = " ".join([*base, f"w{rng.randrange(10**9)}"])
+            if segments(text) > segments(" ".join(base)):
+                rows.append((1000 * bases + len(rows), text))
+        bases += 1
+    check(spark, rows)
+    check(spark, rows, 5, 80, 100)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_short_texts_with_many_sharers(spark, seed):
+    rng, rows = random.Random(100 + seed), []
+    for base in range(20):
+        words = [f"r{base}x{k}" for k in range(rng.randrange(4, 24))]
+        for _ in range(40):
+            copy = list(words)
+            for _ in range(rng.randrange(3)):
+                copy.insert(rng.choice([0, len(copy), rng.randrange(len(copy) + 1)]), f"w{rng.randrange(10**9)}")
+            rows.append((len(rows), " ".join(copy[: len(copy) - rng.randrange(2)])))
+    check(spark, rows)
+    check(spark, rows, 5, 80, 100)
+
+
+def test_long_texts_and_words_are_hashed_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join("q" * rng.randrange(1, 40) for _ in range(rng.randrange(30))) + "\t" * rng.randrange(3) for _ in range(40)] + ["", None, "x" * 200]
+    whole = [s.tolist() for s in shingle_sets(pa.array(texts), 4)]
+    monkeypatch.setattr(jaccard, "AT_ONCE", 64)
+    parts = [s.tolist() for s in shingle_sets(pa.array(texts), 4)]
+    assert parts[:42] == whole[:42] and len(parts[42]) == 1
+    long = "y" * 150
+    one, two = (shingle_sets(pa.array([t]), 1)[0] for t in (f"{long} a {long}", f"b {long}"))
+    assert len(one) == 2 and np.isin(one, two).sum() == 1
+    monkeypatch.undo()
+    text = " ".join(f"l{k}" for k in range(200_000))
+    check(spark, [(1, text), (2, text + " more"), (3, "z" * 3_000_000), (4, "z" * 3_000_000), (5, "z" * 2_999_999)])
+
+
+def test_clashing_columns(spark):
+    schema = "doc_id long, text string, gone_ int, sid int, key_ int, twice_ int, comp int"
+    rows = [(1, "a b c d e f", 1, 1, 1, 1, 1), (2, "a b c d e f", 2, 2, 2, 2, 2), (3, None, 3, 3, 3, 3, 3), (3, "g h i j k", 4, 4, 4, 4, 4)]
+    docs = spark.createDataFrame(rows, schema)
+    assert sorted(r.gone_ for r in near_filter(docs).collect()) == [1, 3, 4]
+    assert near_filter(docs).columns == docs.columns
+    assert near_classes(docs).columns == ["doc_id", "n_shingles", "component_id"]
