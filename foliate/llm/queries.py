@@ -176,15 +176,29 @@ c AS (
     len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS n_letters
   FROM w LEFT JOIN r USING (doc_id)),
 v AS (
-  SELECT *, unnest([{'f': 1, 'slack': 100, 'x': n_symbols * 1000 // greatest(n_words, 1)}, {'f': 2, 'slack': 350, 'x': n_dup_lines * 1000 // greatest(n_lines, 1)},
-    {'f': 3, 'slack': 400, 'x': n_repeat_words * 1000 // greatest(n_words, 1)}, {'f': 4, 'slack': 250, 'x': n_upper * 1000 // greatest(n_letters, 1)}], recursive := true) FROM c),
-b AS (SELECT *, greatest(length(bin(x)) - 6, 0) AS shift FROM v),
-k AS (SELECT lang, source, f, slack, shift * 32 + (x >> CAST(shift AS BIGINT)) AS bucket, ((x >> CAST(shift AS BIGINT)) << CAST(shift AS BIGINT)) AS least, count(*) AS n FROM b WHERE n_words > 0 GROUP BY ALL),
-q AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, f ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY lang, source, f) AS total FROM k),
-t AS (SELECT lang, source, f, min(least) FILTER (4 * below >= total) AS q1, min(least) FILTER (4 * below >= 3 * total) AS q3, any_value(slack) AS slack FROM q GROUP BY ALL),
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    unnest([{'f': 1, 'jump': 100, 'x': n_symbols * 1000 // greatest(n_words, 1)}, {'f': 2, 'jump': 350, 'x': n_dup_lines * 1000 // greatest(n_lines, 1)},
+    {'f': 3, 'jump': 300, 'x': n_repeat_words * 1000 // greatest(n_words, 1)}, {'f': 4, 'jump': 200, 'x': n_upper * 1000 // greatest(n_letters, 1)}], recursive := true) FROM c),
+b AS (SELECT *, CAST(greatest(length(bin(x)) - 6, 0) AS BIGINT) AS shift FROM v),
+k AS (SELECT lang, source, f, jump, shift * 32 + (x >> shift) AS bucket, ((x >> shift) << shift) AS least, count(*) AS n FROM b WHERE NOT base_failed GROUP BY ALL),
+m AS (
+  SELECT 0 AS level, * FROM k
+  UNION ALL SELECT 1, lang, NULL, f, jump, bucket, least, sum(n) FROM k GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, f, jump, bucket, least, sum(n) FROM k GROUP BY ALL),
+q AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, f ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, f) AS total FROM m),
+s AS (
+  SELECT *, lag(least) OVER (PARTITION BY level, lang, source, f ORDER BY bucket) AS low FROM q
+  WHERE greatest(100 * (upto - n) // total + 1, 50) <= least(100 * upto // total, 99)),
+t AS (
+  SELECT level, lang, source, f, any_value(total) AS total,
+    coalesce(arg_min((least + low) // 2, least) FILTER (least - low >= jump AND least >= 3 * low), max(least) + greatest(max(least), any_value(jump))) AS fence
+  FROM s GROUP BY ALL),
+z AS (
+  SELECT a.lang, a.source, a.f, CASE WHEN a.total >= 100 THEN a.fence WHEN l.total >= 100 THEN l.fence ELSE e.fence END AS fence
+  FROM t a JOIN t l ON l.level = 1 AND a.lang IS NOT DISTINCT FROM l.lang AND a.f = l.f JOIN t e ON e.level = 2 AND a.f = e.f WHERE a.level = 0),
 o AS (
-  SELECT b.doc_id, bool_and(coalesce(x <= q3 + 3 * (q3 - q1) + t.slack, false)) AS inside
-  FROM b LEFT JOIN t ON b.lang IS NOT DISTINCT FROM t.lang AND b.source IS NOT DISTINCT FROM t.source AND b.f = t.f GROUP BY b.doc_id)
+  SELECT b.doc_id, bool_and(coalesce(x <= fence, true)) AS inside
+  FROM b LEFT JOIN z ON b.lang IS NOT DISTINCT FROM z.lang AND b.source IS NOT DISTINCT FROM z.source AND b.f = z.f GROUP BY b.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND inside AS kept
 FROM c JOIN o USING (doc_id)
