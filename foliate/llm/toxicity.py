@@ -1,9 +1,12 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors.
 
-Voters are lexicons and patterns that fire or don't. Their vote patterns are counted over all documents that may be
-learnt from, at most 2**len(VOTERS) counts. The label model has an accuracy and a propensity for each voter and a
-correlation for pairs that agree more than the label explains; its partition function is summed exactly over all vote
-patterns. The classifier is fitted to the posterior of a bounded sample of labelled rows; lexicons are mined from all of them.
+Voters fire or don't: lexicons written by hand and patterns, which need no label, and lexicons mined from labelled rows,
+three of them from a third of these rows each, so that they err apart. Their vote patterns are counted over all documents
+that may be learnt from, labelled or not, at most 2**len(VOTERS) counts. The label model has an accuracy and a propensity
+for each voter and a correlation for pairs that agree more than the label explains; its partition function is summed
+exactly over all vote patterns. It maximises the likelihood of those votes alone; labelled rows only say where it starts,
+and a small penalty holds it near there, so that its label keeps its meaning. The classifier is fitted to the posteriors of a
+bounded sample of all documents that may be learnt from.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import about, cut, rows_of
+from foliate.llm.shared import about, cut, rows_of, tidy
 
-#: Labelled rows, about so many by their hash, that the classifier is fitted on; lexicons and counts come from all.
-LABELLED_ROWS = 20_000
+#: Documents, about so many by their hash, that the classifier is fitted on; lexicons and vote counts come from all.
+SAMPLE_ROWS = 20_000
 
 #: Up to so many labels go to every executor; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -42,6 +45,9 @@ COUNTED = 400_000
 
 THRESHOLD = 0.3
 
+#: Labelled documents that hold a token: negative and positive ones of each third.
+COUNTS = ("n0", "p0", "n1", "p1", "n2", "p2")
+
 WORD = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"[A-Z]{3,}[^a-z]{12,}")
 EXCLAIM = re.compile(r"!{2,}")
@@ -49,7 +55,24 @@ MASKED = re.compile(r"\w[*#@$]{1,3}\w")
 
 STEMS = (4, 5, 6, 7)
 
-VOTERS = ("words_a", "words_b", "words_c", "stems", "families", "several", "dense", "weak_words", "clean", "shouting", "exclaiming", "masked")
+#: Words of abuse for persons, words of contempt and words of threat, by hand, in the languages at hand.
+PERSONS = frozenset(
+    "idiot idiots moron morons imbecile fool fools clown scum loser losers dunce dimwit halfwit jerk creep coward liar vermin filth "
+    "dummkopf trottel depp blödmann abschaum versager schwachkopf lügner feigling idiotin "
+    "imbécile crétin abruti ordure racaille raté lâche menteur idiote bouffon "
+    "idiota imbécil tonto escoria payaso perdedor cobarde mentiroso cretino".split()
+)
+CONTEMPT = frozenset(
+    "stupid pathetic worthless useless disgusting dumb ignorant trash garbage despicable repulsive brainless "
+    "dumm wertlos erbärmlich nutzlos ekelhaft widerlich jämmerlich müll stupide minable pathétique nul débile dégoûtant inutile "
+    "estúpido estúpida patético patética inútil basura asqueroso despreciable".split()
+)
+THREATS = frozenset("kill die hate destroy crush hurt töten stirb hasse vernichten tuer crève déteste détruire matar muere odio destruir".split())
+
+VOTERS = ("persons", "contempt", "threats", "insults", "third_0", "third_1", "third_2", "stems", "families", "dense", "weak_words", "shouting", "exclaiming", "masked")
+
+#: How strongly the label model is held to where labelled rows let it start.
+HELD = 0.03
 
 
 def tokens_of(text: str | None, known: tuple[frozenset[str], frozenset[str]] | None = None) -> set[str]:
@@ -66,14 +89,17 @@ def tokens_of(text: str | None, known: tuple[frozenset[str], frozenset[str]] | N
 
 @dataclass
 class Lexicons:
-    """Tokens that toxic documents have and others lack, those with most evidence first; `strong` ones hardly ever err."""
+    """Tokens that toxic documents have and others lack, those with most evidence first; `strong` ones hardly ever err.
+
+    thirds: the strong words by the evidence of each third of the labelled rows alone."""
 
     ranked: list[str] = field(default_factory=list)
     strong: set[str] = field(default_factory=set)
+    thirds: list[set[str]] = field(default_factory=lambda: [set(), set(), set()])
 
     def __post_init__(self):
         self.weak = set(self.ranked) - self.strong
-        self.known = frozenset(t for t in self.ranked if t[0] not in "^+"), frozenset(t[1:] for t in self.ranked if t[0] in "^+")
+        self.known = frozenset(t for t in self.ranked if t[0] not in "^+") | PERSONS | CONTEMPT | THREATS, frozenset(t[1:] for t in self.ranked if t[0] in "^+")
 
     def votes(self, text: str | None, tokens: set[str]) -> int:
         """The voters that fire, as bits; tokens: tokens_of(text, self.known)."""
@@ -82,10 +108,11 @@ class Lexicons:
         words = [t for t in strong if t[0] not in "^+"]
         stems = [t for t in strong if t[0] in "^+"]
         families = [t for t in stems if t[0] == "+"]
-        fired = [any(zlib.crc32(w.encode()) % 3 == k for w in words) for k in range(3)]
+        by_hand = [len(tokens & lexicon) for lexicon in (PERSONS, CONTEMPT, THREATS)]
+        fired = [*by_hand, sum(by_hand) >= 2, *(not third.isdisjoint(tokens) for third in self.thirds)]
         fired += [any(t[0] == "^" for t in stems), bool(families)]
-        fired += [len(words) >= 2 or bool(families), 100 * len(words) + 100 * len(families) >= len(text) // 8, len(self.weak & tokens) >= 3, not strong]
-        fired += [bool(SHOUT.search(text)), bool(EXCLAIM.search(text)), bool(MASKED.search(text))]
+        fired += [100 * len(words) + 100 * len(families) >= max(1, len(text) // 8), len(self.weak & tokens) >= 3]
+        fired += [SHOUT.search(text), EXCLAIM.search(text), MASKED.search(text)]
         return sum(1 << k for k, f in enumerate(fired) if f)
 
 
@@ -94,6 +121,7 @@ class LabelModel:
     """P(label | votes) for every vote pattern, with the parameters it comes from."""
 
     posterior: np.ndarray
+    prior: float
     accuracy: np.ndarray
     propensity: np.ndarray
     pairs: list[tuple[int, int]]
@@ -101,9 +129,10 @@ class LabelModel:
 
 
 def fit_label_model(counts: dict[int, int], labelled: dict[tuple[int, int], int], voters: int = len(VOTERS), rounds: int = 400) -> LabelModel:
-    """Maximum likelihood of the vote patterns' counts, with the label where it is known, by gradient ascent.
+    """Maximum likelihood of the vote patterns' counts, by gradient ascent from where the labelled rows' counts lie.
 
     p(y, v) is proportional to exp(b y + sum a_i v_i y + sum c_i v_i + sum d_ij v_i v_j), y in {-1, 1}, v_i in {0, 1}.
+    labelled: counts of (vote pattern, label 0 or 1); without any, every voter starts as one that speaks for the label.
     """
     patterns = np.arange(1 << voters)
     v = (patterns[:, None] >> np.arange(voters) & 1).astype(np.float64)
@@ -114,33 +143,39 @@ def fit_label_model(counts: dict[int, int], labelled: dict[tuple[int, int], int]
         known[y, p] = n
     seen, known = seen / max(seen.sum(), 1), known / max(known.sum(), 1)
 
-    def fit(pairs: list[tuple[int, int]], start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def fit(seen: np.ndarray, known: np.ndarray, pairs: list[tuple[int, int]], start: np.ndarray, held: float) -> tuple[np.ndarray, np.ndarray]:
         both = np.stack([v[:, i] * v[:, j] for i, j in pairs], 1) if pairs else np.zeros((len(v), 0))
         x = {y: np.hstack([np.full((len(v), 1), y), y * v, v, both]) for y in (-1, 1)}
-        theta = np.zeros(x[1].shape[1])
-        if start is not None:
-            theta[: len(start)] = start
+        start = np.append(start, np.zeros(x[1].shape[1] - len(start)))
+        theta = start.copy()
         first, second = np.zeros_like(theta), np.zeros_like(theta)
-        for step in range(1, rounds + 1):
+
+        def distribution() -> np.ndarray:
             energy = np.stack([x[-1] @ theta, x[1] @ theta])
-            energy -= energy.max()
-            joint = np.exp(energy)
-            joint /= joint.sum()
+            joint = np.exp(energy - energy.max())
+            return joint / joint.sum()
+
+        for step in range(1, rounds + 1):
+            joint = distribution()
             given = joint / np.maximum(joint.sum(0), 1e-300)
             want = given * seen + known - joint * (seen.sum() + known.sum())
-            slope = want[0] @ x[-1] + want[1] @ x[1] - 1e-3 * theta
+            slope = want[0] @ x[-1] + want[1] @ x[1] - held * (theta - start)
             first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
             theta += 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
-        return theta, joint
+        return theta, distribution()
 
-    theta, joint = fit([])
-    together = (seen + known.sum(0)) / max(seen.sum() + known.sum(), 1e-9)
-    excess = np.abs(v.T @ (v * (together - joint.sum(0))[:, None]))
+    none = np.zeros(len(patterns))
+    start = np.concatenate([[-1.0], np.ones(voters), -np.ones(voters)])
+    # Pairs are looked for where the label's part is known: without pairs, the votes' own fit would take a doubled voter for it.
+    start, joint = fit(none, known, [], start, 1e-3) if known.any() else fit(seen, 0 * known, [], start, HELD)
+    excess = np.abs(v.T @ (v * (seen - joint.sum(0))[:, None]))
     found = sorted(((excess[i, j], i, j) for i in range(voters) for j in range(i)), reverse=True)[: 2 * voters]
     pairs = [(i, j) for e, i, j in found if e > 0.002]
-    theta, joint = fit(pairs, theta)
+    if known.any():
+        start, _ = fit(none, known, pairs, start, 1e-3)
+    theta, joint = fit(seen, 0 * known, pairs, start, HELD)
     posterior = joint[1] / np.maximum(joint.sum(0), 1e-300)
-    return LabelModel(posterior, theta[1 : 1 + voters], theta[1 + voters : 1 + 2 * voters], pairs, theta[1 + 2 * voters :])
+    return LabelModel(posterior, float(theta[0]), theta[1 : 1 + voters], theta[1 + voters : 1 + 2 * voters], pairs, theta[1 + 2 * voters :])
 
 
 @dataclass
@@ -183,22 +218,21 @@ def fit_linear(x: np.ndarray, target: np.ndarray, rounds: int = 300) -> np.ndarr
     return w / scale
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = LABELLED_ROWS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learns from docs (doc_id, text) for which `learn`, a condition on doc_id, holds, and from labels (doc_id, toxic).
 
     Labels without an id or a value, or of documents that are not there, count for nothing; of several for a document
-    the largest holds. Without a positive and a negative one the model scores 0 everywhere.
+    the largest holds, and repeated documents count as often as they are there. Without a positive and a negative label,
+    as with empty tables, the model scores 0 everywhere. Null texts are empty, texts of any length are read whole, and
+    other columns of both tables are not looked at.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").filter(learn & F.col("doc_id").isNotNull())
     labels = labels.select("doc_id", "toxic").filter(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     labels = cut(labels)
-    total = labels.count()
-    sent = F.broadcast(labels) if total <= BROADCAST_ROWS else labels
-    every = docs.join(sent, "doc_id")
-    sample = cut(every.filter(about(F.col("doc_id"), rows, total)).select("text", "toxic"))
+    sent = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
 
-    lexicons = _mine(every.select("text", "toxic"))
+    lexicons = _mine(docs.join(sent, "doc_id"))
     spread = spark.sparkContext.broadcast(lexicons)
     voted = _vote_counts(docs.join(sent, "doc_id", "left").select("text", "toxic"), spread, "toxic").collect()  # at most 3 * 2**len(VOTERS) rows
     counts, labelled = Counter(), {(r.votes, r.toxic): r.n for r in voted if r.toxic is not None}
@@ -208,50 +242,64 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = LABELLED_
         return ToxicityModel(lexicons, None, [], np.zeros(0))
     label_model = fit_label_model(counts, labelled)
     model = ToxicityModel(lexicons, label_model, lexicons.ranked[:CLASSIFIER_TOKENS], np.zeros(1))
+    sample = docs.filter(about(F.col("doc_id"), rows, sum(counts.values()))).select("text")
     x, target = _matrix(sample, model)
-    model.weights = fit_linear(x, target)
+    if len(x):
+        model.weights = fit_linear(x, target)
     return model
 
 
 def _mine(labelled: DataFrame) -> Lexicons:
+    """Lexicons from all rows of labelled (doc_id, text, toxic). A row's third follows from the checksum of its doc_id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: list[Counter] = [Counter(), Counter()]
-        totals = [0, 0]
+        counts: dict[str, list[int]] = {}
 
         def made() -> pa.RecordBatch:
-            rows = [("", totals[1], totals[0]), *((t, n, counts[0][t]) for t, n in counts[1].items()), *((t, 0, n) for t, n in counts[0].items() if t not in counts[1])]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["token", "pos", "neg"])
+            columns = list(zip(*counts.values(), strict=True)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["token", *COUNTS])
 
         for batch in rows_of(batches, 1000, "text"):
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                counts[toxic > 0].update(tokens_of(text))
-                totals[toxic > 0] += 1
-            if len(counts[0]) + len(counts[1]) > COUNTED:
+            for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
+                at = 2 * (zlib.crc32(str(doc_id).encode()) // 4 % 3) + (toxic > 0)
+                for token in ("", *tokens_of(text)):
+                    counts.setdefault(token, [0] * 6)[at] += 1
+            if len(counts) > COUNTED:
                 yield made()
-                counts, totals = [Counter(), Counter()], [0, 0]
+                counts.clear()
         yield made()
 
-    summed = cut(labelled.mapInArrow(run, "token string, pos long, neg long").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    summed = labelled.mapInArrow(tidy(run), "token string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("token").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    pos, neg = F.expr("p0 + p1 + p2"), F.expr("n0 + n1 + n2")
+    summed = cut(summed.withColumns({"pos": pos, "neg": neg}))
     total = summed.filter("token = ''").first()
     if total is None or not total.pos or not total.neg:
         return Lexicons()
-    odds = F.log((F.col("pos") + 0.5) / (total.pos + 1.0)) - F.log((F.col("neg") + 0.5) / (total.neg + 1.0))
-    likely = summed.filter((F.col("token") != "") & (F.col("pos") >= LEAST_DOCS)).withColumn("odds", odds).filter("odds >= 2.5")
-    found = likely.orderBy(F.desc(F.col("odds") * F.log("pos")), "token").limit(LEXICON_TOKENS).collect()
-    return Lexicons([r.token for r in found], {r.token for r in found if r.odds >= 4 and r.neg * 20 <= r.pos})
+
+    def odds(pos: str, neg: str) -> Column:
+        return F.log((F.col(pos) + 0.5) / (total[pos] + 1.0)) - F.log((F.col(neg) + 0.5) / (total[neg] + 1.0))
+
+    def strong(row, pos: str, neg: str) -> bool:
+        return row[pos] >= 2 and row[f"odds_{pos}"] >= 4 and row[neg] * 20 <= row[pos]
+
+    made = {f"odds_{p}": odds(p, n) for p, n in (("pos", "neg"), ("p0", "n0"), ("p1", "n1"), ("p2", "n2"))}
+    likely = summed.filter((F.col("token") != "") & (F.col("pos") >= LEAST_DOCS)).withColumns(made).filter("odds_pos >= 2.5")
+    found = likely.orderBy(F.desc(F.col("odds_pos") * F.log("pos")), "token").limit(LEXICON_TOKENS).collect()
+    thirds = [{r.token for r in found if r.token[0] not in "^+" and strong(r, f"p{k}", f"n{k}")} for k in range(3)]
+    return Lexicons([r.token for r in found], {r.token for r in found if strong(r, "pos", "neg")}, thirds)
 
 
 def _vote_counts(rows: DataFrame, spread, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in rows_of(batches, 1000, "text"):
             votes = (spread.value.votes(t, tokens_of(t, spread.value.known)) for t in batch.column("text").to_pylist())
             counts.update(zip(votes, *(batch.column(k).to_pylist() for k in keep), strict=True))
         columns = list(zip(*(k for k in counts), strict=True)) or [()] * (1 + len(keep))
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(list(counts.values()), pa.int64())], names=["votes", *keep, "n"])
 
     schema = "votes int, " + "".join(f"{k} int, " for k in keep) + "n long"
-    return rows.mapInArrow(run, schema).groupBy("votes", *keep).agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy(run), schema).groupBy("votes", *keep).agg(F.sum("n").alias("n"))
 
 
 def _matrix(sample: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +307,7 @@ def _matrix(sample: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.nda
     spread = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 1000):
+        for batch in rows_of(batches, 1000, "text"):
             made = [spread.value.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1].tolist() for m in made], pa.list_(pa.float64())), pa.array([m[2] for m in made], pa.int32())], names=["present", "dense", "votes"])
 
@@ -272,18 +320,22 @@ def _matrix(sample: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.nda
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from THRESHOLD on) behind all their columns; every row gets both."""
+    """docs with score (0 to 1) and predicted (1 from THRESHOLD on) behind all their columns; every row gets both.
+
+    Columns of docs with these two names are left out, all others stay. Null and empty texts get the score of a text
+    without tokens; repeated rows are scored one by one, texts of any length whole; an empty table gives an empty result.
+    """
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_of(batches, 1000, text):
             made = np.array([spread.value.score(t) for t in batch.column(text).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made), pa.array((made >= THRESHOLD).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    kept = docs.select([c for c in docs.columns if c not in ("score", "predicted")])
+    kept = docs.select([c for c in docs.columns if c.lower() not in ("score", "predicted")])
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    return kept.mapInArrow(tidy(run), StructType([*kept.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
