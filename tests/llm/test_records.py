@@ -32,9 +32,9 @@ def test_arc_versions(version):
 
 def test_row_ids_survive():
     for row in (0, 1, -1, -7, 2**62 + 5, 2**63 - 1, -(2**63)):
-        urn = A.record_id(row)
+        urn = A.record_id(row, "0123456789abcdef")
         assert A.row_of_id(urn) == row and urn.split("-")[2][0] == "8"
-    assert len({A.record_id(k) for k in range(1000)}) == 1000
+    assert len({A.record_id(k, "0123456789abcdef") for k in range(1000)}) == 1000
 
 
 def test_archives_round_trip(spark):
@@ -72,6 +72,73 @@ def test_constants_are_folded():
     assert H.Template("{{ 1 % 0 }}").tree[0][0] == "out"
 
 
+CHATML = "{% for message in messages %}{{'<|im_start|>' + message['role'] + '\\n' + message['content'] + '<|im_end|>' + '\\n'}}{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}"
+PAIRED = """
+{%- set rest = messages -%}
+{%- if messages[0]['role'] == 'system' -%}
+    {%- set rest = messages[1:] -%}
+{%- endif -%}
+{%- for m in rest if m.role is not none -%}
+    {%- if (m['role'] == 'user') != (loop.index0 % 2 == 0) -%}
+        {{ raise_exception('roles must alternate') }}
+    {%- endif -%}
+    {%- if m.role == 'user' %}{{ bos_token + '[INST] ' + m['content'].strip() + ' [/INST]' }}
+    {%- elif m.role == 'assistant' %} {% generation %}{{ m.content }}{% endgeneration %}{{ eos_token }}
+    {%- endif -%}
+{%- endfor -%}
+"""
+
+
+def test_published_templates():
+    talk = [{"role": "system", "content": "Be brief."}, {"role": "user", "content": " Hi\n"}, {"role": "assistant", "content": "Yes?"}, {"role": "user", "content": "Bye"}]
+    assert H.Template(CHATML).render(talk[1:3], add_generation_prompt=True)[0] == "<|im_start|>user\n Hi\n<|im_end|>\n<|im_start|>assistant\nYes?<|im_end|>\n<|im_start|>assistant\n"
+    text, spans = H.Template(PAIRED).render(talk, bos_token="<s>", eos_token="</s>")
+    assert text == "<s>[INST] Hi [/INST] Yes?</s><s>[INST] Bye [/INST]" and [text[a:b] for a, b in spans] == ["Yes?"]
+    with pytest.raises(H.TemplateError, match="alternate"):
+        H.Template(PAIRED).render([talk[0], talk[2]], bos_token="", eos_token="")
+
+
+def test_whitespace_control():
+    render = lambda source, **v: H.Template(source).render([], **v)[0]
+    assert render("a {{- x -}} b", x="X") == "aXb" and render("a {{ x }} b", x="X") == "a X b"
+    assert render("a\n  {%- if x -%}\n b {%- endif %}\nc", x=1) == "abc"
+    assert render("<\n  {% if x %}\n  y\n  {% endif %}\n>", x=1) == "<\n  y\n>"
+    assert H.Template("<\n  {% if x %}\n  y\n  {% endif %}\n>", False, False).render([], x=1)[0] == "<\n  \n  y\n  \n>"
+    assert render("a {% if x %} b {% endif %} c", x=1) == "a  b  c" and render("a\n{# note #}\nb {#- x -#} c") == "a\nbc"
+    assert render("{{ '}}' ~ \"%}\" }}") == "}}%}"
+
+
+def test_tests_slices_lists_and_scopes():
+    render = lambda source, **v: H.Template(source).render([], **v)[0]
+    assert render("{{ x is defined }}{{ y is defined }}{{ x is not none }}{{ x.a is undefined }}{{ x is mapping }}{{ 3 is odd }}{{ 'a' is in ['a'] }}", x={}) == "truefalsetruetruetruetruetrue"
+    assert render("{{ [1, 2, 3][1:] | join('-') }}{{ 'abc'[::-1] }}{{ 'abc'[:2] }}{{ {'a': [4]}['a'][0] }}{{ [] | length }}") == "2-3cbaab40"
+    assert render("{% for k, v in x.items() %}{{ k }}={{ v }};{% endfor %}", x={"a": 1, "b": 2}) == "a=1;b=2;"
+    assert render("{% for i in range(3) %}{{ s }}{% set s = i %}{{ s }}|{% endfor %}{{ s is defined }}") == "0|1|2|false"
+    assert render("{% set n = namespace(k=0) %}{% for i in x if i > 1 %}{% set n.k = n.k + i %}{{ loop.index }}{% endfor %}={{ n.k }}", x=[1, 2, 3]) == "12=5"
+    assert render("{{ 7 // 2 }}{{ 7 % 4 }}{{ -2 * 3 }}{{ 1 / 2 }}{{ 'A b'.lower().split(' ')[-1] }}{{ 'x'.startswith('x') }}") == "33-60.5btrue"
+    for bad in ("{{ x.format }}", "{{ ''.format(1) }}", "{{ x.__class__() }}", "{{ open('f') }}", "{{ x is strange }}", "{% for a b in c %}{% endfor %}", "{% set a.b.c = 1 %}"):
+        if bad == "{{ x.format }}":
+            assert render(bad, x="{}") == ""
+            continue
+        with pytest.raises(H.TemplateError):
+            H.Template(bad)
+
+
+@pytest.mark.parametrize("source", ["{{ 'x' * 100000000 }}", "{{ '%1000000000d' % 1 }}", "{{ 9 * 999999999999999999 * 999999999999999999 }}", "{{ range(1000000000) }}", "{{ [0] * 99999999 }}", "{{ 'x'.replace('', y) }}", "{{ 99999999999999999999 }}", "{{ 1 / 0 }}"])
+def test_sandbox_is_bounded(source):
+    with pytest.raises(H.TemplateError):
+        H.Template(source).render([], y="z" * (H.LARGEST_TEXT // 2 + 1))
+
+
+def test_long_and_clashing_conversations(spark):
+    long = "long " * 400_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long + "</s>"), (2, 0, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"messages": F.lit(1), "formatted": F.lit("x"), "m": F.lit(2)})
+    read = {r.conv_id: r for r in H.read_conversations(H.format_conversations(turns)).collect()}
+    assert read[1].loss_text == long + "</s>" and [t.text for t in read[1].turns] == [long, long + "</s>"] and [tuple(t) for t in read[2].turns] == [("", "")]
+    assert H.read_conversations(H.format_conversations(turns.limit(0))).collect() == []
+
+
 def test_loss_spans():
     text, spans = H.Template("{% for m in messages %}<{{ m.role }}>{% generation %}{{ m.text }}{% endgeneration %}{% endfor %}").render([{"role": "é", "text": "🎉x"}, {"role": "b", "text": ""}])
     assert [text[a:b] for a, b in spans] == ["🎉x", ""]
