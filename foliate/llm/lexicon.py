@@ -12,7 +12,6 @@ import heapq
 import json
 import mmap
 import os
-import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -22,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import cut, most_frequent, rows_of
+from foliate.llm.shared import cut, most_frequent, rows_of, tidy
 from foliate.llm.tokens import BatchEncoder, PieceCutter, library_tokenizer, special_tokens
 
 #: Pieces in the lexicon, and counters that a task keeps while it looks for them.
 LEXICON_PIECES = 1 << 16
 
+#: Bytes of the longest piece that the lexicon may hold.
+LONGEST = 64
+
 #: Pieces of up to so many bytes merge by scanning all pairs again; longer ones by a heap, in n log n steps.
 SCANNED = 40
 
@@ -260,20 +262,21 @@ def frequent_pieces(docs: DataFrame, tokenizer: str, most: int = LEXICON_PIECES)
     """Up to `most` pieces that are frequent in all texts, by Misra-Gries summaries that merge by adding.
 
     Each task keeps `most` counters at a time; a piece that fills more than one in `most` of a task's pieces is never lost.
+    Pieces of more than LONGEST bytes are left to the merges, so what reaches the driver is bounded in bytes too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, counts = PieceCutter(library_tokenizer(tokenizer)), Counter()
-        for batch in batches:
+        for batch in rows_of(batches, 1000, "text"):
             for text in batch.column("text").to_pylist():
                 counts.update(cutter(text) if text else ())
                 if len(counts) > 4 * most:
                     least = heapq.nlargest(most + 1, counts.values())[-1]
                     counts = Counter({p: n - least for p, n in counts.items() if n > least})
-        top = counts.most_common(most)
+        top = [(p, n) for p, n in counts.most_common(most) if len(p) <= LONGEST and len(p.encode()) <= LONGEST]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
-    summed = docs.select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    summed = docs.select("text").mapInArrow(tidy(run), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return [r.piece for r in most_frequent(cut(summed.filter("n > 1")), most).orderBy(F.desc("n"), "piece").collect()]
 
 
@@ -303,16 +306,17 @@ class LexiconEncoder:
 def _sent(spark, data: bytes) -> str:
     """Sends the file to every executor, those that come later too; returns the name to ask SparkFiles for."""
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin"
-    folder = tempfile.mkdtemp()  # on the driver, which serves the file
-    with open(f"{folder}/{name}", "wb") as file:
-        file.write(data)
     if not any(name in f for f in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(f"{folder}/{name}")
+        path = f"{spark.sparkContext._temp_dir}/{name}"  # on the driver, which serves the file; goes when the session stops
+        with open(path, "wb") as file:
+            file.write(data)
+        spark.sparkContext.addFile(path)
     return name
 
 
 def encode(docs: DataFrame, tokenizer: str, pieces: list[str] | None = None) -> DataFrame:
-    """doc_id and ids (array<int>) of each row's whole text; null texts have no ids, and repeated rows stay.
+    """doc_id and ids (array<int>) of each row's whole text, of any length; null and empty texts have no ids, repeated rows
+    stay, other columns are left out, and an empty table gives an empty result.
 
     The lexicon holds `pieces`, or the frequent pieces of docs if none are given; an empty one works too.
     """
@@ -330,15 +334,18 @@ def encode(docs: DataFrame, tokenizer: str, pieces: list[str] | None = None) ->
             made = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), made], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, tokenizer: str) -> DataFrame:
     """rows (doc_id, ids, ...) with `text` behind them: what the ids say, special tokens included; null ids say nothing.
 
+    A column of rows that is called text is left out, all others stay.
     Bytes that aren't UTF-8 become U+FFFD; ids outside the vocabulary raise ValueError.
     """
 
+    rows = rows.select([c for c in rows.columns if c.lower() != "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Merges(tokenizer).token_bytes
         for batch in rows_of(batches, 500):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import cut, file_system, new_folder, rows_of, write_file
+from foliate.llm.shared import cut, file_system, new_folder, rows_of, tidy, write_file
 from foliate.llm.tokens import worker_encoder
 
 MAGIC = b"RANSIDS1"
@@ -185,7 +185,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end: int = 0) -> Dat
             yield flush()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return cut(ordered.mapInArrow(run, MANIFEST))
+    return cut(ordered.mapInArrow(tidy(run), MANIFEST))
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
@@ -219,5 +219,9 @@ def read_ids(manifest: DataFrame) -> DataFrame:
 
 
 def coded_ids(docs: DataFrame, tokenizer: str, end: int = 0, folder: str | None = None) -> DataFrame:
-    """write_ids to a new folder in the shared one (or to `folder`), then read_ids."""
+    """write_ids to a new folder in the shared one (or to `folder`), then read_ids: a row for each row of docs (doc_id, text).
+
+    Null and empty texts are the end id alone, texts of any length are coded whole; repeated rows stay, null ids come
+    first; other columns are left out; an empty table writes nothing and gives an empty result.
+    """
     return read_ids(write_ids(docs, tokenizer, folder or new_folder(docs.sparkSession, "token-ids"), end))

@@ -25,8 +25,8 @@ NEWER = regex.compile("[՘֋֌࢏౜೜₏₝-₟꟎-ꟿ꭬꭭\U00010000-\U0001e
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
 LATIN_PIECES = re.compile(f" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
-#: Once a worker knows the ids of more pieces, it forgets those that the batch at hand hasn't got.
-KEPT_PIECES = 900_000
+#: Once a worker knows the ids of pieces of more bytes, overhead included, it forgets those that the batch at hand hasn't got.
+KEPT_BYTES, OVERHEAD = 48 << 20, 200
 
 
 def library_tokenizer(path: str):
@@ -91,7 +91,7 @@ class BatchEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers, self.held = _Numbers(), 0
         self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
     def library_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,12 +101,13 @@ class BatchEncoder:
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts in a row, where each text's begin, with the end last); a null text has none."""
         cut = [self.cut(t) if t else [] for t in texts]
-        if len(self.numbers) > KEPT_PIECES:
+        if self.held > KEPT_BYTES:
             self._keep([p for p in set(chain.from_iterable(cut)) if p in self.numbers])
         known = len(self.numbers)
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         row = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
         if self.numbers.fresh:
+            self.held += OVERHEAD * len(self.numbers.fresh) + sum(map(len, self.numbers.fresh))
             self._learn(known, *self.piece_ids(self.numbers.fresh))
             self.numbers.fresh = []
         begins = self.ends[row - 1] * (row > 0)
@@ -123,6 +124,7 @@ class BatchEncoder:
         ids = self.flat[np.repeat(begins - (stops - counts), counts) + np.arange(stops[-1] if len(stops) else 0)]
         self.forget()
         self.numbers.update(zip(pieces, range(len(pieces)), strict=True))
+        self.held = OVERHEAD * len(pieces) + sum(map(len, pieces))
         self._learn(0, ids, counts)
 
     def _learn(self, known: int, ids: np.ndarray, counts: np.ndarray) -> None:
