@@ -28,6 +28,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 1000
 
+#: Up to so many rows that repeat a payload go to every executor; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
 #: A file is closed beyond so many bytes, and a piece of one that a task reads is about so long.
 FILE_BYTES, CHUNK_BYTES = 64 << 20, 4 << 20
 
@@ -88,12 +91,13 @@ def read_arc(stream) -> Iterator[ArcRecord]:
         yield ArcRecord(*parts[:4], block, code, checksum)
 
 
-def record_id(row: int | None, *else_from: str) -> str:
-    """A record's URN. A row's id stands inside the UUID (version 8, custom bits), so that it can be read from there."""
+def record_id(row: int | None, digest: str, *else_from: str) -> str:
+    """A record's URN. A row's id and the start of its payload's SHA-1 (hex) stand inside the UUID (version 8, custom bits),
+    so that the id can be read from there, and rows of one id with different payloads have records of their own."""
     if row is None:
-        return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(else_from))}"
+        return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((digest, *else_from)))}"
     bits = row & (1 << 64) - 1
-    return f"urn:uuid:{uuid.UUID(int=0x666F6C69617465 >> 8 << 80 | 8 << 76 | (bits >> 62) << 64 | 2 << 62 | bits & (1 << 62) - 1)}"
+    return f"urn:uuid:{uuid.UUID(int=int(digest[:12], 16) << 80 | 8 << 76 | (bits >> 62) << 64 | 2 << 62 | bits & (1 << 62) - 1)}"
 
 
 def row_of_id(urn: str) -> int:
@@ -117,9 +121,10 @@ def convert(record: ArcRecord, refers_to: int | None = None) -> bytes:
     found = re.search(rb"(?im)^" + ROW_HEADER.encode() + rb":\s*(-?\d+)\s*$", head) if http else None
     stamp = record.date.ljust(14, "0")[:14]
     block = head + gap if refers_to is not None else record.block
+    digest = hashlib.sha1(payload).hexdigest()
     headers = {
         "WARC-Type": "revisit" if refers_to is not None else "response" if http else "resource",
-        "WARC-Record-ID": f"<{record_id(int(found[1]) if found else None, record.url, record.date, digest_header(record.block))}>",
+        "WARC-Record-ID": f"<{record_id(int(found[1]) if found else None, digest, record.url, record.date, digest_header(record.block))}>",
         "WARC-Date": f"{stamp[:4]}-{stamp[4:6]}-{stamp[6:8]}T{stamp[8:10]}:{stamp[10:12]}:{stamp[12:14]}Z",
         "WARC-Target-URI": record.url,
         "WARC-IP-Address": record.ip,
@@ -128,7 +133,7 @@ def convert(record: ArcRecord, refers_to: int | None = None) -> bytes:
         "WARC-Block-Digest": digest_header(block),
     }
     if refers_to is not None:
-        headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<{record_id(refers_to)}>"}
+        headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<{record_id(refers_to, digest)}>"}
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()) + f"Content-Length: {len(block)}\r\n\r\n"
     return text.encode("utf-8", "surrogateescape") + block + b"\r\n\r\n"
 
@@ -167,13 +172,16 @@ def convert_archive(archive: bytes, refers_to: Iterable[int | None]) -> Iterator
 
 def with_targets(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with refers_to: of rows with equal payloads of LEAST_REVISIT bytes or more, the largest
-    page_id for all others. Digests meet first, as narrow rows summed before they move; texts move once, by page_id."""
+    page_id for all others. Digests meet first, as narrow rows summed before they move. Texts don't move at all unless more
+    than BROADCAST_ROWS rows repeat a payload; then they move once, by page_id."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"))
     narrow = pages.select("page_id", F.sha1(payload).alias("digest")).filter(F.octet_length(payload) >= LEAST_REVISIT)
     largest = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"))
     again = narrow.distinct().join(largest, "digest").filter((F.col("page_id") < F.col("refers_to")) | F.col("page_id").isNull() & F.col("refers_to").isNotNull())
-    again = again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to")
+    again = cut(again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to"))
+    if again.count() <= BROADCAST_ROWS:
+        again = F.broadcast(again)
     return rows.join(again, rows.page_id.eqNullSafe(again.again_id) & (rows.digest == again.again_digest), "left").select("page_id", "url", "html", "refers_to")
 
 
@@ -254,5 +262,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 
 def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """write_archives to a new folder in the shared one (or to `folder`), then read_archives."""
+    """write_archives to a new folder in the shared one (or to `folder`), then read_archives: RECORDS of each row of pages.
+
+    Null html is an empty payload of 0 bytes, payloads of any size are written whole; rows that repeat an id and a payload
+    are the same record as often as they are there; other columns of pages are left out; an empty table writes nothing.
+    """
     return read_archives(write_archives(pages, folder or new_folder(pages.sparkSession, "warc")))

@@ -96,11 +96,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
     Rows of several queries' ids are one query each, told apart by the id alone, and repeated rows are candidates of
     their own. Vectors of different lengths are compared as if zeros followed the shorter. Null ids take no part.
     """
-    found = cut(quantized(vectors, scale))
-    queries = found.filter(is_query).groupBy("vec_id").agg(F.min("x").alias("x"))
+    found = cut(quantized(vectors, scale).withColumn("row", F.monotonically_increasing_id()))  # equal rows spread over blocks
+    queries = found.filter(is_query).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("row", F.lit(0))
     n, m = found.count(), queries.count()
     blocks, query_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
-    spread = lambda count: F.pmod(F.xxhash64("vec_id", "x"), F.lit(count)).cast("int")
+    spread = lambda count: F.pmod(F.xxhash64("vec_id", "row"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     rows = found.select("vec_id", "x", F.lit(False).alias("q"), spread(blocks).alias("block"), every(query_blocks).alias("query_block"))
     asked = queries.select("vec_id", "x", F.lit(True).alias("q"), every(blocks).alias("block"), spread(query_blocks).alias("query_block"))
