@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from foliate.llm.lexicon import Lexicon, Merges, build, compile_lexicon, decode, encode, frequent_pieces
 from foliate.llm.packing import cut_lengths, pack, plan, slots
@@ -177,8 +178,39 @@ def test_packing_is_gapless(spark, library):
             assert offset == at
             at += length
         assert at <= 2048
+    ids = {d: np.array([*expected(library, t), 0], "<u4") for d, t in texts if d != 101}
+    for r in rows:
+        want = ids[r.doc_id][r.start : r.start + r.length] if r.doc_id in ids else np.zeros(1, "<u4")
+        assert len(want) == r.length and r.ids_crc32 == zlib.crc32(want.tobytes())
+    for d, row in ids.items():  # the pieces of a document follow each other without a gap
+        own = sorted(pieces[d])
+        assert [k for k, _, _ in own] == list(range(len(own))) and sum(n for _, _, n in own) == len(row)
+        assert all(a[1] + a[2] == b[1] for a, b in zip(own, own[1:])) and own[0][1] == 0
     long = sorted(pieces[100])
     assert all(n == 2048 for _, _, n in long[1:]) and long[0][2] <= 2048 and sum(n for _, _, n in long) == len(expected(library, texts[60][1])) + 1
     assert len(pieces[101]) == 2
     assert cut_lengths(2048, 2048) == [(0, 2048)] and cut_lengths(1, 2048) == [(0, 1)] and cut_lengths(4097, 2048) == [(0, 1), (1, 2048), (2049, 2048)]
     assert pack(spark.createDataFrame([], "doc_id long, text string"), byte_bpe()).collect() == []
+
+
+def test_clashing_columns_and_long_texts(spark, library):
+    long = "Lang ist dieser Text, und er wiederholt sich. " * 30_000
+    schema = "doc_id long, text string, ids int, start int, length int, part int, nth int, piece int, rank int, file string, at int"
+    docs = spark.createDataFrame([(1, long, *[7] * 7, "f", 9), (2, None, *[7] * 7, "f", 9), (1, "twice", *[7] * 7, "f", 9)], schema)
+    want = sorted([expected(library, long), [], expected(library, "twice")])
+    assert sorted(r.ids for r in encode(docs, byte_bpe(), ["und", " und"]).collect()) == want
+    assert sorted(np.frombuffer(r.ids, "<u4").tolist()[:-1] for r in coded_ids(docs, byte_bpe()).collect()) == want
+    assert sum(r.length for r in pack(docs, byte_bpe()).collect()) == sum(map(len, want)) + 3
+    again = decode(encode(docs, byte_bpe()).withColumns({"text": F.lit(5), "other": F.lit(6)}), byte_bpe())
+    assert again.columns == ["doc_id", "ids", "other", "text"] and sorted(r.text for r in again.collect()) == sorted([long, "", "twice"])
+
+
+def test_few_kept_pieces_change_nothing(library, monkeypatch):
+    from foliate.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 1000)
+    encoder = tokens.BatchEncoder(library)
+    for k in range(5):
+        texts = [f"some words {j} and more {j * k} words" for j in range(40)]
+        flat, at = encoder(texts)
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [expected(library, t) for t in texts]
