@@ -58,6 +58,12 @@ def _letters(t: Column) -> Column:
     return F.length(t) - F.length(F.translate(t, "a", ""))
 
 
+def decimals(value: Column, places: int) -> Column:
+    """A number with so many decimals as printf writes them: of the binary value itself, halves to the even digit.
+    Spark's format_string rounds the shortest decimal form of a number up."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * places if places else "0"))
+
+
 def text_md5(t: Column) -> Column:
     """MD5 of a text's UTF-8 bytes, or of binary data, in hexadecimal digits."""
     return F.md5(t.cast("binary"))

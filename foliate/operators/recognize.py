@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions.geometry import area, unscale
 from foliate.functions.markdown import content_type
-from foliate.functions.text import strip
+from foliate.functions.text import decimals, strip
 from foliate.operators.layout import PAGE
 
 
@@ -182,7 +182,7 @@ def validate(rows: DataFrame) -> DataFrame:
     lower = F.lower("content")
     warnings = F.array_compact(F.array(
         F.when(empty, F.lit("empty output")),
-        F.when((size > 0) & (density > 50), F.concat(F.lit("output too long for area (density="), F.format_string("%.1f", density), F.lit(")"))),
+        F.when((size > 0) & (density > 50), F.concat(F.lit("output too long for area (density="), decimals(density, 1), F.lit(")"))),
         F.when((F.col("block_type") == "table") & ~F.contains("content", F.lit("|")) & ~F.contains(lower, F.lit("<table")), F.lit("table output missing pipe or table tag")),
         F.when((F.col("block_type") == "formula") & ~F.contains("content", F.lit("$")) & ~F.contains("content", F.lit("\\")), F.lit("formula output missing LaTeX syntax")),
     ))

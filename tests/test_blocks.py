@@ -146,6 +146,15 @@ def test_untagged_and_doubled_tags(spark):
     assert made == {(1, 1): "x = 1", (2, 1): "", (2, 2): "", (3, 1): "second", (3, 2): "- a"}
 
 
+def test_densities_are_written_as_printf_does(spark):
+    lengths = [51 + k for k in range(200)] + [405, 1234567]
+    rows = spark.createDataFrame([(n, "text", (0, 0, 10, side), "x" * n) for n in lengths for side in (80, 100, 70)], f"doc_id long, block_type string, bbox {BOX}, content string")
+    got = sorted((r.doc_id, r.bbox.y2, r.validation_warning) for r in R.validate(rows).collect())
+    shown = {(n, side): n / (10 * side / 1000.0) for n in lengths for side in (80, 100, 70)}
+    assert got == sorted((n, side, f"output too long for area (density={d:.1f})" if d > 50 else "") for (n, side), d in shown.items())
+    assert any("506.2" in w for _, _, w in got)  # 506.25
+
+
 def test_chat_requests():
     import io
     import json
