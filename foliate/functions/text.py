@@ -64,6 +64,13 @@ def decimals(value: Column, places: int) -> Column:
     return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * places if places else "0"))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """A number rounded as SQL engines do it with doubles: scaled, rounded to a whole number, halves away from zero, and scaled
+    back. Spark's round() takes the shortest decimal form instead, so that 0.575 (a little less, in binary) becomes 0.58."""
+    scale = F.lit(float(10**places))
+    return F.round(value * scale) / scale
+
+
 def text_md5(t: Column) -> Column:
     """MD5 of a text's UTF-8 bytes, or of binary data, in hexadecimal digits."""
     return F.md5(t.cast("binary"))

@@ -77,7 +77,7 @@ def classify(pages: DataFrame, config: DetectionConfig = DetectionConfig()) -> D
     reason = (
         F.when(few, F.concat(F.lit("too few chars ("), F.col("char_count").cast("string"), F.lit(f" < {config.min_text_chars})")))
         .when(invalid, F.concat(F.lit("high invalid char ratio ("), percent(F.col("invalid_ratio"), 2), F.lit(")")))
-        .when(low, F.concat(F.lit("low quality score ("), F.format_number(F.round("quality_score", 2), 2), F.lit(")")))
+        .when(low, F.concat(F.lit("low quality score ("), T.decimals(T.rounded(F.col("quality_score"), 2), 2), F.lit(")")))
         .when(images | F.col("has_formula"), F.array_join(F.array_compact(parts), "; "))
         .otherwise("good text layer")
     )

@@ -11,6 +11,7 @@ from foliate.functions import markdown as M
 from foliate.functions import text as T
 from foliate.operators import cache as K
 from foliate.operators import dispatch as D
+from foliate.operators.classify import classify
 
 
 def one(spark, column):
@@ -86,6 +87,18 @@ def test_coherence_against_counts(spark, text):
     assert one(spark, T.coherence(F.lit(text))) == pytest.approx(min(1.0, len(words) / max(len(tokens), 1)))
 
 
+def test_rounding_of_binary_values(spark):
+    values = [0.575, 0.565, 0.285, 0.125, 0.375, 0.005, 0.0, 0.699999, 1.0]
+    assert one(spark, F.transform(F.array(*map(F.lit, values)), lambda x: T.decimals(T.rounded(x, 2), 2))) == ["0.57", "0.56", "0.28", "0.13", "0.38", "0.01", "0.00", "0.70", "1.00"]
+    assert one(spark, T.decimals(F.lit(1234567.25), 1)) == "1234567.2"
+
+
+def test_low_scores_are_rounded_in_binary(spark):
+    pages = spark.createDataFrame([("word " * 23 + "! " * 17, [], 0.0)], "text string, spans array<struct<text string, font string, x1 double, x2 double>>, image_ratio double")
+    made = classify(pages).select("quality_score", "reason").first()
+    assert (made.quality_score, made.reason) == (0.575, "low quality score (0.57)")
+
+
 def test_prompts(spark):
     place = G.box(11, 222, 3333, 44444)
     for kind in ("text", "title", "table", "formula", "caption", "list", "code", "reference", "image", "header"):
