@@ -386,18 +386,37 @@ def _meetings(rows: DataFrame, bands: Bands) -> DataFrame:
     return _pairs(one.join(two.filter(F.col("kind2") != PROBE), "key").filter((F.col("comp1") != F.col("comp2")) & fit & meet), "sid1", "sid2")
 
 
-def _led(groups: DataFrame, often: DataFrame, shared: bool = False) -> DataFrame:
+def _best(rows: DataFrame, by: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.max("lead").alias("lead"))
+
+
+def _led(groups: DataFrame, often: DataFrame) -> DataFrame:
     """key, leader: of each key's sets the one in most dear keys (often: sid, often), which is the least changed one of a
-    group of near copies. shared: the best leader that the sets of the key have in any of their keys, so that the keys of
-    such a group have one leader in common; it need not have the key itself."""
-    best = lambda rows, by: rows.groupBy(by).agg(F.max("lead").alias("lead"))
-    lead = best(groups.select("key", "sid").join(often, "sid").select("key", F.struct("often", "sid").alias("lead")), "key")
-    for by in ("sid", "key") if shared else ():
-        other = "key" if by == "sid" else "sid"
-        lead = best(groups.select("key", "sid").join(lead, other), by)
+    group of near copies."""
+    lead = _best(groups.select("key", "sid").join(often, "sid").select("key", F.struct("often", "sid").alias("lead")), "key")
     return lead.select("key", F.col("lead.sid").alias("leader"))
 
 
+def _dear(shared: DataFrame) -> DataFrame:
+    """sid, n, key, often, leader: the dear keys that sets take, in how many a set is, and the key's leader.
+
+    Sets with cheap keys enough need no dear ones; the others add as many, in the order of the keys, as they lack. Of two
+    linked sets the one whose last such key is the smaller has an equal key among its own, which the other has then as well.
+    A key's leader is the best one, by how many dear keys it is in, that the key's sets have in any of their keys, so that
+    the keys of a group of near copies have one leader in common; it need not have the key itself. Each of the joins gives as
+    many rows as there are dear keys of sets.
+    """
+    listed = shared.filter("dear").groupBy("sid", "n").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.max("spare").alias("spare"))
+    taken = F.slice("keys", F.lit(1), F.size("keys") - F.col("spare") + 1)
+    listed = listed.filter("size(keys) >= spare").groupBy("sid").agg(F.collect_list(F.struct("n", taken.alias("keys"))).alias("bands"))
+    often = F.aggregate("bands", F.lit(0), lambda sum_, band: sum_ + F.size(band["keys"]))
+    dear = cut(listed.select("sid", often.alias("often"), F.inline("bands")).select("sid", "n", F.explode("keys").alias("key"), "often"))
+    lead = _best(dear.select("key", F.struct("often", "sid").alias("lead")), "key")
+    lead = _best(dear.select("key", "sid").join(lead, "key"), "sid")
+    lead = _best(dear.select("key", "sid").join(lead, "sid"), "key")
+    return cut(dear.join(lead.select("key", F.col("lead.sid").alias("leader")), "key"))
+
+
 def _differences(scope: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """key, sid, n, comp, kind: the differences of sets from their leaders that serve as keys, from rows (leader, sid,
     comp, apart: whether the leader is in another component).
@@ -589,14 +608,8 @@ def _near_sets(docs: DataFrame, words: int, bands: Bands, folder: str) -> tuple[
     rows = cut(set_rows(docs, words))
     parities = cut(rows.filter("sid is not null").select("sid", "n_shingles", "parity").dropDuplicates(["sid"]))
     shared = stored(_groups(_index(docs, words, bands), bands), f"{folder}/shared", NARROW)
-    # Sets with cheap keys enough need no dear ones; the others add as many, in the order of the keys, as they lack. Of two
-    # linked sets the one whose last such key is the smaller has an equal key among its own, which the other has then as well.
-    listed = shared.filter("dear").groupBy("sid", "n").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.max("spare").alias("spare"))
-    lacks = F.size("keys") - F.col("spare") + 1
-    dear = cut(listed.filter("size(keys) >= spare").select("sid", "n", F.explode(F.slice("keys", F.lit(1), lacks)).alias("key")))
-    often = cut(dear.groupBy("sid").agg(F.count("*").alias("often")))
-    star = dear.join(_led(dear, often, True), "key").select("leader", "sid")
-    first = cut(_pairs(shared.filter("leader is not null").select("leader", "sid").unionByName(star), "leader", "sid"))
+    dear = _dear(shared)
+    first = cut(_pairs(shared.filter("leader is not null").select("leader", "sid").unionByName(dear.select("leader", "sid").distinct()), "leader", "sid"))
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The alike ones among pairs, with the sets read from the texts."""
@@ -609,7 +622,7 @@ def _near_sets(docs: DataFrame, words: int, bands: Bands, folder: str) -> tuple[
 
     def opened(found: DataFrame) -> DataFrame:
         """Rows of keys that more than one component shares, with the components."""
-        comp = found.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+        comp = cut(found.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root"))
         several = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
         return comp.join(several, "key", "left_semi")
 
@@ -626,14 +639,16 @@ def _near_sets(docs: DataFrame, words: int, bands: Bands, folder: str) -> tuple[
     joined_by(linked(second, "second"))
     groups = cut(opened(dear))
     if not groups.isEmpty():
-        wanted = groups.select("sid").unionByName(_led(groups, often, True).select(F.col("leader").alias("sid"))).distinct()
+        often = dear.select("sid", "often").distinct()
+        wanted = groups.select("sid").unionByName(groups.select(F.col("leader").alias("sid"))).distinct()
         sets = stored(_sets(docs, words, wanted), f"{folder}/dear")
         known = lambda pairs: cut(_verified(_possible(pairs, parities, bands), sets, bands))
     for k in itertools.count():
         if groups.isEmpty():
             break
-        scope = cut(groups.join(_led(groups, often, k == 0), "key").select("leader", "sid").distinct())
-        joined_by(known(_pairs(scope, "leader", "sid").join(first, ["a", "b"], "left_anti")))
+        scope = cut((groups.join(_led(groups, often), "key") if k else groups).select("leader", "sid").distinct())
+        if k:  # pairs of the first leaders are among the first ones
+            joined_by(known(_pairs(scope, "leader", "sid").join(first, ["a", "b"], "left_anti")))
         node = lambda name, comp: joined.select(F.col("node").alias(name), F.col("root").alias(comp))
         comps = scope.join(node("sid", "comp"), "sid", "left").join(node("leader", "leads"), "leader", "left")
         comps = comps.select("leader", "sid", F.coalesce("comp", "sid").alias("comp"), F.coalesce("leads", "leader").alias("leads"))

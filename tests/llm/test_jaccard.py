@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +180,30 @@ def test_families_and_cut_copies_in_a_large_group(spark, monkeypatch, rounds):
     check(spark, rows)
 
 
+def rows_of_joins(spark, on):
+    """Rows that all inner joins on `on` have made in this session."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for k in range(runs.size()):
+        nodes, values = store.planGraph(runs.apply(k).executionId()).allNodes(), store.executionMetrics(runs.apply(k).executionId())
+        for node in map(nodes.apply, range(nodes.size())):
+            if "Join" in node.name() and f"[{on}], [{on}], Inner" in re.sub(r"#\d+L?", "", node.desc()):
+                for metric in map(node.metrics().apply, range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and (value := values.get(metric.accumulatorId())).isDefined():
+                        total += int(value.get().replace(",", ""))
+    return total
+
+
+def test_few_joins_of_dear_keys(spark, monkeypatch):
+    made, dear = [], jaccard._dear
+    monkeypatch.setattr(jaccard, "_dear", lambda shared: made.append(dear(shared)) or made[0])
+    before = rows_of_joins(spark, "key")
+    check(spark, spread(1, 250, 100, (1, 2, 3, 4, 5, 6, 8, 12)))
+    rows = made[0].count()
+    assert rows > 500 and made[0].select("key", "leader").distinct().count() == made[0].select("key").distinct().count()
+    assert rows_of_joins(spark, "key") - before < 4 * rows
+
+
 def test_singletons_and_empty_segments_with_many_sharers(spark):
     rng, rows, bands, bases = random.Random(17), [], Bands(85, 100), 0
     while bases < 2:  # a base whose shingles leave a segment empty, and copies whose one more shingle falls into that
