@@ -52,7 +52,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
             columns = list(zip(*made, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), PIECE_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, keep=True), PIECE_SCHEMA)
 
 
 class Complements:

@@ -185,7 +185,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end: int = 0) -> Dat
             yield flush()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return cut(ordered.mapInArrow(tidy(run), MANIFEST))
+    return cut(ordered.mapInArrow(tidy(run, keep=True), MANIFEST))
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from itertools import chain
 import numpy as np
 import regex
 
+from foliate.llm.shared import FORGET
+
 #: The pattern of byte-level BPE, a fixed value of the vocabulary's public pre-tokenizer.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -141,3 +143,6 @@ class BatchEncoder:
 def worker_encoder(path: str) -> BatchEncoder:
     """The encoder that a worker keeps from task to task, with the pieces that it knows."""
     return BatchEncoder(library_tokenizer(path))
+
+
+FORGET.append(worker_encoder.cache_clear)
