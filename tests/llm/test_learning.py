@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,6 +262,18 @@ def test_model_scores_against_brute_force(spark):
     assert len(model.likelihoods) == 2 and model.likelihoods[1] > model.likelihoods[0]
 
 
+def test_words_and_symbols_of_whole_columns():
+    rng = random.Random(5)
+    texts = [None, "", " ", "\t a", "a ", " A B\x85c  d  E\u0130K ", "\x00x\x1cy \x1f"] + ["".join(rng.choice("aB \t\n\x0b\x0c\r\x1c\xa0 \xc4z") for _ in range(rng.randrange(40))) for _ in range(500)]
+    symbols = M.Symbols([b"a", b"b", b"az", "\xc4".encode()])
+    for column in (pa.array(texts), pa.array(texts).slice(4, 20), pa.array(texts, pa.large_string()), pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        words, numbers, begins = M.distinct_words(column)
+        listed = words.to_pylist()
+        assert [[listed[k] for k in numbers[a:b]] for a, b in zip(begins, begins[1:], strict=False)] == [M.words_of(t) for t in column.to_pylist()]
+        rows = symbols.rows(symbols.found(words), numbers, begins)
+        assert [r.tolist() for r in rows] == [symbols.of(M.words_of(t)).tolist() for t in column.to_pylist()]
+
+
 def test_symbols():
     symbols = M.Symbols([b"a", b"b"])
     assert symbols[b"a"] == 0 and symbols[b"zzabc"] == symbols[b"abc"] >= symbols.first_class and symbols.size == symbols.end + 1
