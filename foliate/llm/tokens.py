@@ -6,6 +6,7 @@ ids of its pieces in a row. Pieces recur, texts don't: the library sees each dis
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -48,6 +49,34 @@ def special_tokens(tokenizer) -> dict[str, int]:
     return {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
 
+def token_bytes(tokenizer) -> np.ndarray:
+    """How many bytes of text each id stands for: a sign each in a byte-level vocabulary; special tokens stand for themselves."""
+    out = np.zeros(tokenizer.get_vocab_size(True) + 1, np.int64)
+    special = special_tokens(tokenizer)
+    for token, i in tokenizer.get_vocab(True).items():
+        if i >= len(out):
+            out = np.concatenate([out, np.zeros(i + 1, np.int64)])
+        out[i] = len(token.encode()) if token in special else len(token)
+    return out
+
+
+def for_pieces(tokenizer):
+    """A copy of a byte-level tokenizer that takes pieces as they are, without looking for cuts in each again; the tokenizer
+    itself where its pieces aren't made by the plain byte-level step."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    made = json.loads(tokenizer.to_str())
+    step = made["pre_tokenizer"] or {}
+    if made["normalizer"] or (step.get("type"), step.get("add_prefix_space"), step.get("use_regex")) != ("ByteLevel", False, True):
+        return tokenizer
+    copy = Tokenizer.from_str(tokenizer.to_str())
+    copy.no_truncation()
+    copy.no_padding()
+    copy.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+    return copy
+
+
 class PieceCutter:
     """Cuts texts into pieces and special tokens as the library does."""
 
@@ -90,6 +119,7 @@ class BatchEncoder:
     def __init__(self, tokenizer, piece_ids=None):
         self.tokenizer, self.cut = tokenizer, PieceCutter(tokenizer)
         self.piece_ids = piece_ids or self.library_ids
+        self.token_bytes: np.ndarray | None = None
         self.forget()
 
     def forget(self) -> None:
@@ -97,7 +127,17 @@ class BatchEncoder:
         self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
     def library_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        encoding = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        """The library's ids without the places it would look up for each: a piece's tokens have as many bytes as the piece."""
+        if self.token_bytes is None:
+            self.token_bytes, self.whole_pieces = token_bytes(self.tokenizer), for_pieces(self.tokenizer)
+        [encoding] = self.whole_pieces.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(encoding.ids, np.uint32)
+        upto = np.cumsum(self.token_bytes[ids])
+        ends = np.cumsum(np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in pieces), np.int64, len(pieces)))
+        stops = np.searchsorted(upto, ends) + 1
+        if len(upto) and upto[-1] == ends[-1] and np.array_equal(upto[stops - 1], ends):
+            return ids, np.diff(stops, prepend=0)
+        encoding = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)  # not one byte for each of a token's signs
         return np.array(encoding.ids, np.uint32), np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(pieces))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

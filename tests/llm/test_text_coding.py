@@ -116,6 +116,18 @@ def test_many_segments_and_damage():
         decode_block(bytes(broken), table, table.by_slot())
 
 
+def test_pieces_and_their_ids_without_places(library):
+    rng, encoder = random.Random(8), BatchEncoder(library)
+    special = list(encoder.cut.special)[:2]
+    pieces = list(dict.fromkeys([*special, " ", "\n\n", " \u6f22\u5b57", "\U0001f600", "\x00", "\u0130"] + ["".join(rng.choice("abcXYZ\xe9\u4e2d1!") for _ in range(rng.randrange(1, 12))) for _ in range(3000)]))
+    whole = library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+    ids, counts = encoder.library_ids(pieces)
+    assert ids.tolist() == whole.ids and counts.tolist() == np.bincount(whole.word_ids, minlength=len(pieces)).tolist()
+    assert encoder.whole_pieces is not library
+    encoder.tokenizer = None  # nothing is left for the slower way
+    assert encoder.library_ids(pieces)[0].tolist() == whole.ids
+
+
 def test_files_hold_all_ids_in_order(spark, library, tmp_path):
     texts = [(k * 7 % 31 - 3, t) for k, t in enumerate([*TEXTS, *(f"text {k} " * k for k in range(14))])] + [(2, "twice"), (None, "no id")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
