@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.llm.shared import cut, rows_of, tidy
-from foliate.llm.tokens import worker_encoder
+from foliate.llm.tokens import BATCH_BYTES, worker_encoder
 
 CAPACITY = 2048
 
@@ -41,7 +41,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
         encode, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in rows_of(batches, 1000, "text"):
+        for batch in rows_of(batches, 1000, "text", BATCH_BYTES):
             made: list[tuple] = []
             flat, at = encode(batch.column("text").to_pylist())
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at.tolist(), at[1:].tolist(), strict=False):

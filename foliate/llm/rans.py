@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.llm.shared import cut, file_system, new_folder, rows_of, tidy, write_file
-from foliate.llm.tokens import worker_encoder
+from foliate.llm.tokens import BATCH_BYTES, worker_encoder
 
 MAGIC = b"RANSIDS1"
 SCALE_BITS = 20
@@ -172,7 +172,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end: int = 0) -> Dat
             rows = [(part, file, number, k, int(at[k]), len(b), *sizes[k]) for k, b in enumerate(blocks)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 4), strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
-        for batch in rows_of(batches, 1000, "text"):
+        for batch in rows_of(batches, 1000, "text", BATCH_BYTES):
             flat, at = encode(batch.column("text").to_pylist())
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at.tolist(), at[1:].tolist(), strict=False):
                 held_docs.append(doc_id)

@@ -40,10 +40,13 @@ FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: Once a worker knows the ids of pieces of more bytes, overhead included (of a string, of two integers), it forgets those
 #: that its last batch hadn't got.
-KEPT_BYTES, OVERHEAD, PACKED = 48 << 20, 200, 96
+KEPT_BYTES, OVERHEAD, PACKED = 32 << 20, 200, 96
 
 #: Pieces of Latin-1 that are looked up at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 16
+
+#: Bytes of text in a batch, for what a batch needs beside its ids: about ten times as much.
+BATCH_BYTES = 1 << 20
 
 
 def library_tokenizer(path: str):
@@ -175,7 +178,7 @@ class PackedPieces:
         """Different pieces that have no number yet."""
         if 2 * (self.used + len(low)) > 1 << self.bits:
             (a, b, c), room = self.items(), self.used + len(low)
-            self.__init__(2 * room)
+            self.__init__(room)
             self.add(a, b, c)
         self.used += len(low)
         slot = self._slots(low, high)
@@ -308,7 +311,7 @@ class BatchEncoder:
         strings = {p: int(number[k]) for p, k in self.strings.items() if number[k] >= 0}
         stay, (ids, counts) = number[old] >= 0, self._ids(kept)
         self.forget()
-        packed = PackedPieces(2 * int(stay.sum()))
+        packed = PackedPieces(int(stay.sum()))
         packed.add(low[stay], high[stay], number[old[stay]])
         self._number(strings, packed, len(kept))
         self._learn(0, ids, counts)
