@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import NARROW, WHITESPACE, cut, free_name, new_folder, remove_folder, rows_of, stored, tidy
+from foliate.llm.shared import NARROW, WHITESPACE, cut, free_name, job, kept, mapped, rows_of, tidy
 
 #: A key that more documents share is dear.
 CHEAP = 24
@@ -244,7 +244,7 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "sid", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, sid long, parity binary")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, sid long, parity binary")
 
 
 def _index(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
@@ -332,7 +332,7 @@ def _groups(index: DataFrame, bands: Bands) -> DataFrame:
         if len(held[0]):
             yield from closed(*held)
 
-    return index.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(tidy(run), "key long, sid long, n int, spare int, leader long, dear boolean")
+    return mapped(index.repartition("key").sortWithinPartitions("key", "sid"), run, "key long, sid long, n int, spare int, leader long, dear boolean")
 
 
 def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
@@ -410,11 +410,11 @@ def _dear(shared: DataFrame) -> DataFrame:
     taken = F.slice("keys", F.lit(1), F.size("keys") - F.col("spare") + 1)
     listed = listed.filter("size(keys) >= spare").groupBy("sid").agg(F.collect_list(F.struct("n", taken.alias("keys"))).alias("bands"))
     often = F.aggregate("bands", F.lit(0), lambda sum_, band: sum_ + F.size(band["keys"]))
-    dear = cut(listed.select("sid", often.alias("often"), F.inline("bands")).select("sid", "n", F.explode("keys").alias("key"), "often"))
+    dear = kept(listed.select("sid", often.alias("often"), F.inline("bands")).select("sid", "n", F.explode("keys").alias("key"), "often"))
     lead = _best(dear.select("key", F.struct("often", "sid").alias("lead")), "key")
     lead = _best(dear.select("key", "sid").join(lead, "key"), "sid")
     lead = _best(dear.select("key", "sid").join(lead, "sid"), "key")
-    return cut(dear.join(lead.select("key", F.col("lead.sid").alias("leader")), "key"))
+    return kept(dear.join(lead.select("key", F.col("lead.sid").alias("leader")), "key"))
 
 
 def _differences(scope: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -455,7 +455,7 @@ def _differences(scope: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["key", "sid", "n", "comp", "kind"])
 
     whole = scope.join(sets, "sid").join(sets.select(F.col("sid").alias("leader"), F.col("members").alias("center")), "leader")
-    return whole.select("leader", "sid", "comp", "apart", "members", "center").mapInArrow(tidy(run), "key long, sid long, n long, comp long, kind int")
+    return mapped(whole.select("leader", "sid", "comp", "apart", "members", "center"), run, "key long, sid long, n long, comp long, kind int")
 
 
 def _in_blocks(groups: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -525,7 +525,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     joined = pairs.join(sets.select(F.col("sid").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("sid").alias("a"), F.col("members").alias("x")), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
+    return mapped(joined.select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def _possible(pairs: DataFrame, parities: DataFrame, bands: Bands) -> DataFrame:
@@ -540,7 +540,7 @@ def _possible(pairs: DataFrame, parities: DataFrame, bands: Bands) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     one, two = (parities.select(F.col("sid").alias(s), F.col("n_shingles").alias(n), F.col("parity").alias(p)) for s, n, p in (("a", "n", "x"), ("b", "m", "y")))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(tidy(run), "a long, b long")
+    return mapped(pairs.join(two, "b").join(one, "a").select("a", "b", "n", "m", "x", "y"), run, "a long, b long")
 
 
 def _forest(links: DataFrame, roots: bool) -> DataFrame:
@@ -566,7 +566,7 @@ def _forest(links: DataFrame, roots: bool) -> DataFrame:
         for k in range(0, len(rows), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + 100_000], strict=True)], names=["u", "v"])
 
-    return links.mapInArrow(tidy(run), "u long, v long")
+    return mapped(links, run, "u long, v long")
 
 
 def components(links: DataFrame, most: int = FOREST) -> DataFrame:
@@ -576,9 +576,9 @@ def components(links: DataFrame, most: int = FOREST) -> DataFrame:
     large-star and small-star rounds move each node's neighbours to the least of them until nothing changes. A node with
     very many neighbours is summed before the shuffle and joined, never gathered.
     """
-    edges = cut(_forest(links.select("a", "b"), False))
+    edges = kept(_forest(links.select("a", "b"), False))
     if edges.count() <= most:
-        return cut(_forest(edges.coalesce(1), True)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return kept(_forest(edges.coalesce(1), True)).select(F.col("u").alias("node"), F.col("v").alias("root"))
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -587,7 +587,7 @@ def components(links: DataFrame, most: int = FOREST) -> DataFrame:
         large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        edges = cut(small)
+        edges = kept(small)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             break
@@ -597,32 +597,28 @@ def components(links: DataFrame, most: int = FOREST) -> DataFrame:
 
 def near_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(set_rows, components of linked sets: node, root) of docs (doc_id, text); sets without links have no component."""
-    folder = new_folder(docs.sparkSession, "near")
-    try:
-        return _near_sets(docs, words, Bands(num, den), folder)
-    finally:
-        remove_folder(docs.sparkSession, folder)
+    return _near_sets(docs, words, Bands(num, den))
 
 
-def _near_sets(docs: DataFrame, words: int, bands: Bands, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = cut(set_rows(docs, words))
-    parities = cut(rows.filter("sid is not null").select("sid", "n_shingles", "parity").dropDuplicates(["sid"]))
-    shared = stored(_groups(_index(docs, words, bands), bands), f"{folder}/shared", NARROW)
+def _near_sets(docs: DataFrame, words: int, bands: Bands) -> tuple[DataFrame, DataFrame]:
+    rows = kept(set_rows(docs, words))
+    parities = kept(rows.filter("sid is not null").select("sid", "n_shingles", "parity").dropDuplicates(["sid"]))
+    shared = kept(_groups(_index(docs, words, bands), bands), NARROW)
     dear = _dear(shared)
-    first = cut(_pairs(shared.filter("leader is not null").select("leader", "sid").unionByName(dear.select("leader", "sid").distinct()), "leader", "sid"))
+    first = kept(_pairs(shared.filter("leader is not null").select("leader", "sid").unionByName(dear.select("leader", "sid").distinct()), "leader", "sid"))
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
+    def linked(pairs: DataFrame) -> DataFrame:
         """The alike ones among pairs, with the sets read from the texts."""
-        pairs = cut(_possible(pairs, parities, bands))
+        pairs = kept(_possible(pairs, parities, bands))
         wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        return cut(_verified(pairs, stored(_sets(docs, words, wanted), f"{folder}/{name}"), bands))
+        return kept(_verified(pairs, kept(_sets(docs, words, wanted)), bands))
 
-    links = linked(first, "first")
+    links = linked(first)
     joined = components(links)
 
     def opened(found: DataFrame) -> DataFrame:
         """Rows of keys that more than one component shares, with the components."""
-        comp = cut(found.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root"))
+        comp = kept(found.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root"))
         several = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
         return comp.join(several, "key", "left_semi")
 
@@ -635,18 +631,18 @@ def _near_sets(docs: DataFrame, words: int, bands: Bands, folder: str) -> tuple[
         joined = components(links)
         return True
 
-    second = cut(_across(opened(shared.filter("key is not null and not dear")), bands).join(first, ["a", "b"], "left_anti"))
-    joined_by(linked(second, "second"))
-    groups = cut(opened(dear))
+    second = kept(_across(opened(shared.filter("key is not null and not dear")), bands).join(first, ["a", "b"], "left_anti"))
+    joined_by(linked(second))
+    groups = kept(opened(dear))
     if not groups.isEmpty():
         often = dear.select("sid", "often").distinct()
         wanted = groups.select("sid").unionByName(groups.select(F.col("leader").alias("sid"))).distinct()
-        sets = stored(_sets(docs, words, wanted), f"{folder}/dear")
-        known = lambda pairs: cut(_verified(_possible(pairs, parities, bands), sets, bands))
+        sets = kept(_sets(docs, words, wanted))
+        known = lambda pairs: kept(_verified(_possible(pairs, parities, bands), sets, bands))
     for k in itertools.count():
         if groups.isEmpty():
             break
-        scope = cut((groups.join(_led(groups, often), "key") if k else groups).select("leader", "sid").distinct())
+        scope = kept((groups.join(_led(groups, often), "key") if k else groups).select("leader", "sid").distinct())
         if k:  # pairs of the first leaders are among the first ones
             joined_by(known(_pairs(scope, "leader", "sid").join(first, ["a", "b"], "left_anti")))
         node = lambda name, comp: joined.select(F.col("node").alias(name), F.col("root").alias(comp))
@@ -654,13 +650,13 @@ def _near_sets(docs: DataFrame, words: int, bands: Bands, folder: str) -> tuple[
         comps = comps.select("leader", "sid", F.coalesce("comp", "sid").alias("comp"), F.coalesce("leads", "leader").alias("leads"))
         comps = comps.withColumn("apart", F.col("comp") != F.col("leads")).drop("leads")
         several = comps.filter("apart").select("leader").distinct()
-        found = cut(_contested(stored(_differences(comps.join(several, "leader", "left_semi"), sets, bands), f"{folder}/differences-{k}")))
+        found = kept(_contested(kept(_differences(comps.join(several, "leader", "left_semi"), sets, bands))))
         joined_by(known(_meetings(found.filter(f"rows <= {CHEAP}"), bands)))
-        large = cut(opened(found.filter(f"rows > {CHEAP}").select("key", "sid", "n", "rows").distinct()))
-        joined_by(cut(_in_blocks(large if k == ROUNDS else large.filter(f"rows <= {MANY}"), sets, bands)))
+        large = kept(opened(found.filter(f"rows > {CHEAP}").select("key", "sid", "n", "rows").distinct()))
+        joined_by(kept(_in_blocks(large if k == ROUNDS else large.filter(f"rows <= {MANY}"), sets, bands)))
         if k == ROUNDS:
             break
-        groups = cut(opened(large.filter(f"rows > {MANY}").select("key", "sid", "n")))
+        groups = kept(opened(large.filter(f"rows > {MANY}").select("key", "sid", "n")))
     return rows.drop("parity"), joined
 
 
@@ -670,12 +666,14 @@ def near_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     component_id is the smallest doc_id that links reach. Rows without words link with nothing, not even each other;
     null texts have no words; rows of the same set are linked; null ids count only where a component has no other.
     """
-    rows, joined = near_sets(docs.select("doc_id", "text"), words, num, den)
-    least = rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    least = least.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut(least.join(roots, "root").select("sid", "component_id"))
-    return rows.join(classes, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    with job():
+        rows, joined = near_sets(docs.select("doc_id", "text"), words, num, den)
+        least = rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
+        least = least.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
+        classes = kept(least.join(roots, "root").select("sid", "component_id"))
+        found = rows.join(classes, "sid", "left")
+        return kept(found.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), NARROW, stay=True)
 
 
 def near_filter(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -684,25 +682,26 @@ def near_filter(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
 
     Rows whose id is null or repeated get a key of their own, and are kept by that; all others by their id.
     """
-    rows, joined = near_sets(docs.select("doc_id", "text"), words, num, den)
-    first = lambda *columns: F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *columns)).alias("keep")
-    least = rows.filter("sid is not null").groupBy("sid").agg(first()).select("sid", "keep.doc_id")
-    least = least.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    roots = least.groupBy("root").agg(first("sid")).select("root", F.col("keep.doc_id").alias("keep_id"), F.col("keep.sid").alias("keep_sid"))
-    classes = cut(least.join(roots, "root").select("sid", "keep_id", "keep_sid"))
-    twice = cut(rows.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 or doc_id is null").select("doc_id"))
-    gone = rows.join(classes, "sid").filter("doc_id <> keep_id").select("doc_id").unionByName(twice)
-    name = free_name(docs.columns)
-    gone = cut(gone.filter("doc_id is not null").select(F.col("doc_id").alias(name)).distinct())
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
-    if twice.isEmpty():
-        return kept
-    part = docs.join(twice.select(F.col("doc_id").alias(name)), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-    part = cut(part.withColumn(name, F.monotonically_increasing_id()))
-    sets = set_rows(part.select(F.col(name).alias("doc_id"), "text"), words).select(F.col("doc_id").alias("key"), "sid")
-    sets = cut(sets.join(part.select(F.col(name).alias("key"), F.col("doc_id").cast("long").alias("doc_id")), "key"))
-    one = sets.join(classes, "sid").filter("sid = keep_sid and doc_id <=> keep_id").groupBy("sid").agg(F.min("key").alias("key")).select("key")
-    stay = cut(one.unionByName(sets.filter("sid is null").select("key"))).withColumnRenamed("key", name)
-    return kept.filter(F.col("doc_id").isNotNull()).union(part.join(stay, name, "left_semi").select(docs.columns))
+    with job():
+        rows, joined = near_sets(docs.select("doc_id", "text"), words, num, den)
+        first = lambda *columns: F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *columns)).alias("keep")
+        least = rows.filter("sid is not null").groupBy("sid").agg(first()).select("sid", "keep.doc_id")
+        least = least.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        roots = least.groupBy("root").agg(first("sid")).select("root", F.col("keep.doc_id").alias("keep_id"), F.col("keep.sid").alias("keep_sid"))
+        classes = kept(least.join(roots, "root").select("sid", "keep_id", "keep_sid"))
+        twice = kept(rows.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 or doc_id is null").select("doc_id"))
+        gone = rows.join(classes, "sid").filter("doc_id <> keep_id").select("doc_id").unionByName(twice)
+        name = free_name(docs.columns)
+        gone = kept(gone.filter("doc_id is not null").select(F.col("doc_id").alias(name)).distinct(), stay=True)
+        if gone.count() <= BROADCAST_ROWS:
+            gone = F.broadcast(gone)
+        single = docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+        if twice.isEmpty():
+            return single
+        part = docs.join(twice.select(F.col("doc_id").alias(name)), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+        part = cut(part.withColumn(name, F.monotonically_increasing_id()))
+        sets = set_rows(part.select(F.col(name).alias("doc_id"), "text"), words).select(F.col("doc_id").alias("key"), "sid")
+        sets = kept(sets.join(part.select(F.col(name).alias("key"), F.col("doc_id").cast("long").alias("doc_id")), "key"))
+        one = sets.join(classes, "sid").filter("sid = keep_sid and doc_id <=> keep_id").groupBy("sid").agg(F.min("key").alias("key")).select("key")
+        stay = kept(one.unionByName(sets.filter("sid is null").select("key")), stay=True).withColumnRenamed("key", name)
+        return single.filter(F.col("doc_id").isNotNull()).union(part.join(stay, name, "left_semi").select(docs.columns))

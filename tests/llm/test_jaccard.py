@@ -1,3 +1,4 @@
+import gc
 import itertools
 import random
 import re
@@ -5,9 +6,12 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from foliate.llm import jaccard
+from foliate.llm import shared as llm_shared
 from foliate.llm.jaccard import Bands, components, near_classes, near_filter, shingle_sets
+from foliate.llm.shared import job, kept, mapped
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -258,3 +262,48 @@ def test_clashing_columns(spark):
     assert sorted(r.gone_ for r in near_filter(docs).collect()) == [1, 3, 4]
     assert near_filter(docs).columns == docs.columns
     assert near_classes(docs).columns == ["doc_id", "n_shingles", "component_id"]
+
+
+@pytest.fixture
+def shared(monkeypatch, tmp_path):
+    monkeypatch.setattr(llm_shared, "shared_folder", lambda spark: f"file://{tmp_path}/shared")
+    return tmp_path / "shared"
+
+
+@pytest.mark.parametrize("near", [near_classes, near_filter])
+def test_workers_write_all_tables(spark, monkeypatch, shared, near):
+    """Spark's writers start chmod for each file, for a moment with all memory of the JVM, which so counts twice."""
+    called = []
+    for kind, name in ((type(spark.range(1)), "checkpoint"), (DataFrameWriter, "parquet")):
+        monkeypatch.setattr(kind, name, lambda self, *args, f=getattr(kind, name), name=name, **named: called.append(name) or f(self, *args, **named))
+    rows = spread(1, 250, 100, (1, 2, 3, 4, 5, 6, 8, 12))
+    found = near(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100)
+    gc.collect()
+    assert not called and len(list(shared.iterdir())) == 1  # of the tables only the last one stays
+    least = {r[0]: r[2] for r in brute(rows, 4, 85, 100)}
+    assert sorted(r.doc_id for r in found.collect()) == sorted(least if near is near_classes else set(least.values()))
+
+
+def test_kept_tables(spark, shared):
+    rows = [(None if k % 7 == 0 else k, f"t{k}", bytes([k % 256]), k % 2 == 0, [k, None], k / 3, (k, "x")) for k in range(300)]
+    frame = spark.createDataFrame(rows, "a long, b string, c binary, d boolean, e array<int>, f double, g struct<x: int, y: string>")
+    with job():
+        one, none, last = kept(frame.repartition(3)), kept(frame.filter("b = ''")), kept(frame, stay=True)
+        made = kept(mapped(frame.select("a"), lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows] * 200_000)], names=["n"]) for b in batches), "n long"))
+        assert len(list(shared.iterdir())) == 4
+    assert sorted(one.collect(), key=str) == sorted(frame.collect(), key=str) == sorted(last.collect(), key=str)
+    assert none.count() == 0 and none.schema == frame.schema and made.count() % 200_000 == 0 < made.count()
+    del one, none, made
+    gc.collect()
+    assert len(list(shared.iterdir())) == 1 and last.count() == 300
+
+
+def test_failed_task_leaves_no_rows(spark, shared):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(range(200_000))], names=["n"])
+            raise ValueError(batch.num_rows)
+
+    with pytest.raises(Exception, match="ValueError"):
+        kept(mapped(spark.range(10), run, "n long"))
+    assert [f.name for f in shared.rglob("*") if f.is_file()] == []
