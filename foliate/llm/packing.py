@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import cut, rows_of, tidy
+from foliate.llm.shared import NARROW, job, kept, mapped, rows_of
 from foliate.llm.tokens import BATCH_BYTES, worker_encoder
 
 CAPACITY = 2048
@@ -52,7 +52,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
             columns = list(zip(*made, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run, keep=True), PIECE_SCHEMA)
+    return mapped(docs.select("doc_id", "text"), run, PIECE_SCHEMA, keep=True)
 
 
 class Complements:
@@ -151,15 +151,17 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {length: np.array(rows, np.int64) for length, rows in made.items()}
 
 
+@job()
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """Packs all rows of docs (doc_id, text) into sequences of at most `capacity` tokens.
 
     One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts are the
-    end token alone; repeated rows and ids are packed one by one; an empty table gives an empty result.
+    end token alone; repeated rows and ids are packed one by one; an empty table gives an empty result. The rows are
+    computed at once and stay in the shared folder until the driver ends.
     """
     spark = docs.sparkSession
-    pieces = cut(tokenized_pieces(docs, tokenizer, capacity, end))
-    by_part = cut(pieces.groupBy("length", "part").count())
+    pieces = kept(tokenized_pieces(docs, tokenizer, capacity, end))
+    by_part = kept(pieces.groupBy("length", "part").count(), NARROW)
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in by_part.groupBy("length").agg(F.sum("count")).collect():  # at most `capacity` rows
         counts[length] = n
@@ -169,7 +171,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0
     first = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = by_part.select("length", "part", F.coalesce(first, F.lit(0)).alias("first_rank"))
     ranked = pieces.join(starts, ["length", "part"]).select(*PLACED[:5], (F.col("first_rank") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(_placer(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return kept(mapped(ranked, _placer(places), placed), NARROW, stay=True)
 
 
 PLACED = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from foliate.llm.shared import WHITESPACE, cut, rows_of, step_of, tidy
+from foliate.llm.shared import WHITESPACE, cut, kept, rows_of, step_of, tidy
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -213,6 +213,6 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     plain = docs.toDF(*(f"c{k}_" for k in range(len(columns))))  # no name can clash with those that are added
     name = {c: f"c{k}_" for k, c in enumerate(columns)}
     groups = {"lang": F.col(name["lang"]), "source": F.col(name["source"])}
-    limits = cut(thresholds(sketch(with_counts(docs.select("text", "lang", "source")).drop("text"))))
-    kept = judge(with_counts(plain, name["text"]).withColumns(groups), limits).filter("kept")
-    return kept.select(*(F.col(name[c]).alias(c) for c in columns))
+    limits = kept(thresholds(sketch(with_counts(docs.select("text", "lang", "source")).drop("text"))), stay=True)
+    passed = judge(with_counts(plain, name["text"]).withColumns(groups), limits).filter("kept")
+    return passed.select(*(F.col(name[c]).alias(c) for c in columns))

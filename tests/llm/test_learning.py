@@ -1,5 +1,6 @@
 """Quality rules, toxicity, language model and pipeline."""
 
+import gc
 import math
 import random
 import zlib
@@ -8,10 +9,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from foliate.llm import hmm as M
 from foliate.llm import quality as Q
+from foliate.llm import shared as llm_shared
 from foliate.llm import toxicity as X
 from foliate.llm.shared import remainder
 
@@ -349,3 +352,22 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_leave_writing_to_workers(spark, monkeypatch, tmp_path):
+    """Spark's writers start chmod for each file, for a moment with all memory of the JVM, which so counts twice."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(llm_shared, "shared_folder", lambda spark: f"file://{tmp_path}/shared")
+    rows = [(k, prose(80) + (" vile scum" if k % 4 == 0 else ""), "en", "s0") for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(60)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    called = []
+    for kind, name in ((type(spark.range(1)), "checkpoint"), (DataFrameWriter, "parquet")):
+        monkeypatch.setattr(kind, name, lambda self, *args, name=name, **named: called.append(name) or pytest.fail(name))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() > 0
+    assert not called
+    gc.collect()
+    tables = list((tmp_path / "shared").iterdir())
+    assert len(tables) == 3  # fences, duplicates and places: what the results read
