@@ -41,18 +41,21 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
         encode, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in rows_of(batches, 1000, "text", BATCH_BYTES):
-            made: list[tuple] = []
-            flat, at = encode(batch.column("text").to_pylist())
-            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at.tolist(), at[1:].tolist(), strict=False):
-                ids = np.append(flat[a:b], last)
-                for k, (s, n) in enumerate(cut_lengths(len(ids), capacity)):
-                    made.append((doc_id, k, s, n, zlib.crc32(ids[s : s + n]), part, seen[n]))
-                    seen[n] += 1
-            columns = list(zip(*made, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
-
-    return mapped(docs.select("doc_id", "text"), run, PIECE_SCHEMA, keep=True)
+        try:
+            for batch in rows_of(batches, 1000, "text", BATCH_BYTES):
+                made: list[tuple] = []
+                flat, at = encode(batch.column("text").to_pylist())
+                for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at.tolist(), at[1:].tolist(), strict=False):
+                    ids = np.append(flat[a:b], last)
+                    for k, (s, n) in enumerate(cut_lengths(len(ids), capacity)):
+                        made.append((doc_id, k, s, n, zlib.crc32(ids[s : s + n]), part, seen[n]))
+                        seen[n] += 1
+                columns = list(zip(*made, strict=True)) or [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+        finally:  # loading takes a tenth of a second; each of the workers that take turns would hold 80 MB or so
+            worker_encoder.cache_clear()
+
+    return mapped(docs.select("doc_id", "text"), run, PIECE_SCHEMA)
 
 
 class Complements:

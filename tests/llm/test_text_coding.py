@@ -305,3 +305,11 @@ def test_few_kept_pieces_change_nothing(library, monkeypatch):
         texts = [f"some words {j} and more {j * k} words" for j in range(40)]
         flat, at = encoder(texts)
         assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [expected(library, t) for t in texts]
+
+
+def test_packing_leaves_no_encoder_in_its_worker(monkeypatch):
+    from foliate.llm import packing, tokens
+
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    packing.tokenized_pieces(_Runs(pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b"]})), byte_bpe())
+    assert tokens.worker_encoder.cache_info().currsize == 0
