@@ -277,6 +277,31 @@ def test_words_and_symbols_of_whole_columns():
         assert [r.tolist() for r in rows] == [symbols.of(M.words_of(t)).tolist() for t in column.to_pylist()]
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+@pytest.mark.parametrize("start", [0, 1, 30])
+def test_words_of_slices_without_nulls(kind, start):
+    texts = pa.array([prose(RNG.randint(1, 20)) + " \u00c4B" for _ in range(60)], kind).slice(start, 25)
+    words, numbers, begins = M.distinct_words(texts)
+    listed = words.to_pylist()
+    assert [[listed[k] for k in numbers[a:b]] for a, b in zip(begins, begins[1:], strict=False)] == [M.words_of(t) for t in texts.to_pylist()]
+
+
+def test_language_model_of_batches_too_large_for_one_step(spark):
+    """Batches over 4 MB are cut, and what is cut off after the first row has its own words too."""
+    rows = [(k, " ".join(f"W{RNG.randrange(40_000)}" for _ in range(12_000))) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    made = M.score(docs, M.fit(docs, remainder(F.col("doc_id"), 7) != 2, rounds=1)).collect()
+    learnt = [t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    counts = Counter(w for t in learnt for w in M.words_of(t))
+    n, v = sum(counts.values()) + len(learnt), len(counts) + 1
+    expected = {}
+    for d, t in rows:
+        w = M.words_of(t)
+        expected[d] = len(w) + 1, sum(counts[x] > 0 for x in w) + 1, n, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(learnt) + 1) / (n + v + 1))
+    assert {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in made} == {d: e[:3] for d, e in expected.items()}
+    assert all(math.isclose(r.base_score, expected[r.doc_id][3], rel_tol=1e-9) for r in made)
+
+
 def test_symbols():
     symbols = M.Symbols([b"a", b"b"])
     assert symbols[b"a"] == 0 and symbols[b"zzabc"] == symbols[b"abc"] >= symbols.first_class and symbols.size == symbols.end + 1
